@@ -115,3 +115,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             return cut(forest.select("id", F.col("root").alias("component")).unionByName(roots.select("id", F.col("id").alias("component"))))
         now = forest.select("id", "root").unionByName(clash)
     raise RuntimeError("components did not settle")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Of rows that come sorted by a long column: batches that hold whole key
+    groups, and the bounds of the groups in each."""
+    carry: list[pa.RecordBatch] = []
+
+    def bounds(batch: pa.RecordBatch) -> np.ndarray:
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not len(b):
+            continue
+        at = bounds(b)
+        if len(at) > 2 or (carry and carry[-1].column(key)[-1] != b.column(key)[0]):
+            head = int(at[-2])
+            whole = [*carry, *([b.slice(0, head)] if head else [])]
+            carry = []
+            if whole:
+                whole = joined(whole)
+                yield whole, bounds(whole)
+            b = b.slice(head)
+        carry.append(b)
+    if carry:
+        whole = joined(carry)
+        yield whole, bounds(whole)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, token_counts, warc
+from . import exact_dedup, html_extract, lsh_forest, mixing, nn_descent, packing, suffix_radix, token_counts, toxicity, warc
 
 
 def _table(name: str):
@@ -30,12 +29,36 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_table(documents(spark, sf_dir))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_dedup(documents(spark, sf_dir))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.embedding_dedup(embeddings(spark, sf_dir))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(pages(spark, sf_dir))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_radix.suffix_report(documents(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(pages(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_token_counts, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_token_counts, op4_minhash_near_dedup, op5_embedding_near_dedup, op6_html_extraction, op7_suffix_dedup, op8_packing, op9_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,6 +28,43 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies,
 FROM z
 """
 
+OP4 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS id, doc_id AS root FROM w UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a WHERE r.root < e.b),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.id = w.doc_id
+"""
+
+OP5 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e) AND len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON r.id = l.a WHERE r.root < l.b),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.k, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+OP7 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, unnest(range(0, CAST(length(h) / 2 AS BIGINT))) AS p, h FROM d),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS x, CASE WHEN 2 * p + 200 <= length(h) THEN md5(substr(h, 2 * p + 1, 200)) END AS k FROM b),
+m AS (SELECT k, min(CAST(doc_id AS HUGEINT) * 4294967296 + p) AS at FROM w WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+f AS (SELECT doc_id, p, x, m.k IS NOT NULL AND m.at <> CAST(doc_id AS HUGEINT) * 4294967296 + p AS again FROM w LEFT JOIN m ON m.k = w.k),
+g AS (SELECT doc_id, p, x, max(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) = 0 AS opens FROM g),
+a AS (SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (gone = 0) AS left_hex FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_hex, ''))) AS kept_sha256
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
 OP10 = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 q AS (SELECT page_id, html, CAST(strlen(html) AS BIGINT) AS payload_bytes,
@@ -38,4 +75,4 @@ SELECT q.page_id, payload_bytes, payload_digest, CASE WHEN q.page_id = g.keep TH
 FROM q JOIN g ON q.html = g.html
 """
 
-SQL = {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op10_warc": OP10}
+SQL = {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op4_minhash_near_dedup": OP4, "op5_embedding_near_dedup": OP5, "op7_suffix_dedup": OP7, "op10_warc": OP10}

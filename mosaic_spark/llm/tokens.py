@@ -14,7 +14,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k"
 #: The code points that the pre-tokenizer takes as white space.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _BLANK = re.compile(rf"[{_SPACE}]")
 #: Remembered chunks and characters looked at in one go; both bound a worker's memory.
