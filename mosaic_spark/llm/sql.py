@@ -54,8 +54,10 @@ FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 
 OP7 = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT doc_id, unnest(range(0, CAST(length(h) / 2 AS BIGINT))) AS p, h FROM d),
-w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS x, CASE WHEN 2 * p + 200 <= length(h) THEN md5(substr(h, 2 * p + 1, 200)) END AS k FROM b),
+c AS (SELECT doc_id, h, unnest(range(0, CAST(ceil(length(h) / 2000.0) AS BIGINT))) AS c FROM d),
+e AS (SELECT doc_id, c, substr(h, 2000 * c + 1, 2200) AS s, CAST(length(h) / 2 AS BIGINT) AS n FROM c),
+b AS (SELECT doc_id, c, s, n, unnest(range(0, least(1000, n - 1000 * c))) AS i FROM e),
+w AS (SELECT doc_id, 1000 * c + i AS p, substr(s, 2 * i + 1, 2) AS x, CASE WHEN 1000 * c + i + 100 <= n THEN md5(substr(s, 2 * i + 1, 200)) END AS k FROM b),
 m AS (SELECT k, min(CAST(doc_id AS HUGEINT) * 4294967296 + p) AS at FROM w WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
 f AS (SELECT doc_id, p, x, m.k IS NOT NULL AND m.at <> CAST(doc_id AS HUGEINT) * 4294967296 + p AS again FROM w LEFT JOIN m ON m.k = w.k),
 g AS (SELECT doc_id, p, x, max(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f),
