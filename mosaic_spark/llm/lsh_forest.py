@@ -12,8 +12,8 @@ smallest node stays a member of every part.
 Candidates. Longest-common-prefix neighbours in each order come first. Each node
 checks its best neighbour, then neighbours that are still in another component.
 After that only nodes outside the largest component of a region remain: they meet
-the others of their region in order of estimated similarity, in rounds of growing
-reach, until no pair of different components is left. So a group of m copies
+the others of their region in order of estimated similarity, the nearest first and then
+all, until no pair of different components is left. So a group of m copies
 costs about m checks and no link between components is left out.
 
 Checks compare full shingle sets: 100 * intersection >= 75 * union."""
@@ -31,12 +31,15 @@ from .common import components, cut, slices, text_buffers, whole_groups
 
 SHINGLE, TREES, DEPTH = 5, 32, 4
 VALUES = TREES * DEPTH
+#: Values of the wide signatures that candidates get beside their sets.
+WIDE = 512
 SIMILARITY = 75
-#: Pairs whose estimated similarity over VALUES bytes is below go unchecked: 4 standard errors under 0.75.
-LEAST_ESTIMATE = 0.6
+#: Pairs whose estimated similarity is below go unchecked: 4 standard errors under 0.75,
+#: for signatures of VALUES and of WIDE bytes.
+LEAST_ESTIMATE, LEAST_WIDE = 0.6, 0.675
 REGION_ROWS = 20_000
 _rng = np.random.default_rng(7)
-_A, _B = _rng.integers(1, 2**63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1), _rng.integers(0, 2**63, VALUES, np.uint64)
+_A, _B = _rng.integers(1, 2**63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1), _rng.integers(0, 2**63, WIDE, np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,12 +66,16 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def minhash(values: np.ndarray) -> np.ndarray:
-    least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(values), 2048):
-        part = values[i : i + 2048]
-        np.minimum(least, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1), out=least)
-    return least
+def minhash(values: np.ndarray, n: int = VALUES) -> np.ndarray:
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(values), 1024):
+        part = values[i : i + 1024]
+        np.minimum(least, (part[None, :] * _A[:n, None] + _B[:n, None]).min(axis=1), out=least)
+    return mixed(least)
+
+
+def signature(least: np.ndarray) -> bytes:
+    return (least >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,13 +92,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(s):
                     ids.append(None), keys.append(None), sigs.append(None)
                     continue
-                m = mixed(minhash(s))
+                m = minhash(s)
                 ids.append(xxh3_128_digest(s.tobytes()))
                 tree = salt.copy()
                 for d in range(DEPTH):
                     tree = mixed(tree * _P + m.reshape(TREES, DEPTH)[:, d])
                 keys.append(tree.view(np.int64))
-                sigs.append((m >> np.uint64(56)).astype(np.uint8).tobytes())
+                sigs.append(signature(m))
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "keys", "sig"])
 
 
@@ -99,8 +106,9 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw, off = text_buffers(b.column(1))
         for i, j in slices(off, 8_000_000):
-            sets = [shingle_set(raw[off[k] : off[k + 1]].tobytes()).tobytes() for k in range(i, j)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["id", "s"])
+            sets = [shingle_set(raw[off[k] : off[k + 1]].tobytes()) for k in range(i, j)]
+            wide = [signature(minhash(x, WIDE)) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(wide, pa.binary())], names=["id", "s", "wide"])
 
 
 def _checked(similarity: int):
@@ -117,68 +125,109 @@ def _checked(similarity: int):
     return run
 
 
-def _region_pairs(take: int | None, skip: int = 0):
-    """Pairs of a region, which comes as rows (key, tree, id, n, sig, component).
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of equal signature bytes of every row of ``a`` with every row of ``b``:
+    eight at a time, summed inside 64-bit words. For at most 248 bytes."""
+    out = np.zeros((len(a), len(b)), np.uint64)
+    x, y = (np.ascontiguousarray(m).reshape(len(m), -1, 8).transpose(1, 0, 2) for m in (a, b))
+    for k in range(len(x)):
+        out += (np.ascontiguousarray(x[k])[:, None, :] == np.ascontiguousarray(y[k])[None, :, :]).view(np.uint64)[:, :, 0]
+    return ((out * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.float32) / a.shape[1]
+
+
+def _near_sizes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(x, y) >= SIMILARITY * np.maximum(x, y)
 
-    take None: longest-common-prefix neighbours. Else, for every node outside the
-    region's largest component, its partners number skip..skip+take by estimated
-    similarity, as far as they are in other components; (null, null) says that
-    partners beyond remain."""
 
-    def one(ids, sizes, sig, tree, comp):
-        if take is None:
-            order = np.lexsort(np.roll(sig, -tree * DEPTH, axis=1).T[::-1])
+#: Members whose mean estimate to a spread of others is highest: where copies link to
+#: their original alone, it is among these. Spread and number of them, for a region.
+SPREAD, CENTRES = 48, 12
+
+
+def _neighbour_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of regions, rows (key, tree, id, sig): longest-common-prefix neighbours, and for
+    every node its best of the region's central members."""
+    for whole, at in whole_groups(batches):
+        tree, ids = (whole.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+        sigs = text_buffers(whole.column(3))[0].reshape(-1, VALUES)
+        found = []
+        for i, j in zip(at[:-1], at[1:]):
+            m, sig, own = j - i, sigs[i:j], ids[i:j]
+            if m < 2:
+                continue
+            order = np.lexsort(np.roll(sig, -int(tree[i]) * DEPTH, axis=1).T[::-1])
             a, b = order[:-1], order[1:]
-            return a, b, (sig[a] == sig[b]).mean(axis=1, dtype=np.float32), False
-        names, at, n = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return *[np.zeros(0, np.int64)] * 2, np.zeros(0), False
-        small = np.flatnonzero(at != n.argmax())
-        out, more = [], False
-        block = max(1, 4_000_000 // (len(ids) * VALUES) + 1)
-        for i in range(0, len(small), block):
-            rows = small[i : i + block]
-            est = (sig[rows, None, :] == sig[None, :, :]).mean(axis=2, dtype=np.float32)
-            near = (100 * np.minimum(sizes[rows, None], sizes[None, :]) >= SIMILARITY * np.maximum(sizes[rows, None], sizes[None, :])) & (est >= LEAST_ESTIMATE)
-            for r, x in enumerate(rows):
-                c = np.flatnonzero(near[r])
-                c = c[np.lexsort((ids[c], -est[r, c]))]
-                far = c[skip + take :]
-                more |= bool((comp[far] != comp[x]).any())
-                c = c[skip : skip + take]
-                out += [(x, y, est[r, y]) for y in c[comp[c] != comp[x]]]
-        a, b, e = zip(*out) if out else ((), (), ())
-        return np.array(a, np.int64), np.array(b, np.int64), np.array(e), more
+            e = (sig[a] == sig[b]).mean(axis=1, dtype=np.float32)
+            if m > 4:
+                spread = order[np.unique(np.linspace(0, m - 1, SPREAD).astype(int))]
+                mean = np.concatenate([estimates(sig[k : k + 4096], sig[spread]).mean(axis=1) for k in range(0, m, 4096)])
+                centre = np.lexsort((own, -mean))[:CENTRES]
+                est = np.concatenate([estimates(sig[k : k + 4096], sig[centre]) for k in range(0, m, 4096)])
+                est[centre, np.arange(len(centre))] = 0
+                top = est.argmax(axis=1)
+                a, b, e = np.append(a, np.arange(m)), np.append(b, centre[top]), np.append(e, est[np.arange(m), top])
+            a, b = own[a], own[b]
+            ok = (a != b) & (e >= LEAST_ESTIMATE)
+            found.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], e[ok]))
+        if found:
+            yield _pair_rows(*(np.concatenate(c) for c in zip(*found)))
+
+
+def _pair_rows(a, b, e) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())], names=["a", "b", "e"])
+
+
+def _open_pairs(skip: int, take: int):
+    """Of regions, rows (key, tree, id, n, wide, places, component): for every node
+    outside the region's largest component, its partners number skip..skip+take by
+    estimated similarity, as far as they are in other components. A pair counts only
+    in the first tree whose region it shares (places: a node's region in every tree).
+    (null, null) says that partners beyond remain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in whole_groups(batches):
-            tree, ids, sizes, comp = (whole.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 5))
-            sig = text_buffers(whole.column(4))[0].reshape(-1, VALUES)
-            found, rest = [], False
+            tree, all_ids, all_n, all_comp = (whole.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 6))
+            all_wide = text_buffers(whole.column(4))[0].reshape(-1, WIDE)
+            all_places = whole.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, TREES)
+            found, more = [], False
             for i, j in zip(at[:-1], at[1:]):
-                if j - i < 2:
+                ids, n, wide, places, comp, t = all_ids[i:j], all_n[i:j], all_wide[i:j], all_places[i:j], all_comp[i:j], int(tree[i])
+                names, which, size = np.unique(comp, return_inverse=True, return_counts=True)
+                if len(names) < 2:
                     continue
-                a, b, e, more = one(ids[i:j], sizes[i:j], sig[i:j], int(tree[i]), comp[i:j])
-                rest |= more
-                a, b = ids[i:j][a], ids[i:j][b]
-                ok = (a != b) & (e >= LEAST_ESTIMATE)
-                found.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], e[ok]))
+                small = np.flatnonzero(which != size.argmax())
+                block = max(1, 1_000_000 // len(ids))
+                for k in range(0, len(small), block):
+                    rows = small[k : k + block]
+                    near = (estimates(wide[rows, :VALUES], wide[:, :VALUES]) >= LEAST_ESTIMATE) & _near_sizes(n[rows, None], n[None, :])
+                    r, c = np.nonzero(near)
+                    x = rows[r]
+                    fresh = (x != c) & ~((places[x, :t] == places[c, :t]) & (places[x, :t] != 0)).any(axis=1)
+                    r, c = r[fresh], c[fresh]
+                    e = np.concatenate([np.zeros(0), *((wide[rows[r[z : z + 20_000]]] == wide[c[z : z + 20_000]]).mean(axis=1) for z in range(0, len(r), 20_000))])
+                    ok = e >= LEAST_WIDE
+                    r, c, e = r[ok], c[ok], e[ok]
+                    order = np.lexsort((ids[c], -e, r))
+                    r, c, e = r[order], c[order], e[order]
+                    rank, x = np.arange(len(r)) - np.searchsorted(r, r), rows[r]
+                    apart = comp[c] != comp[x]
+                    more |= bool((apart & (rank >= skip + take)).any())
+                    pick = apart & (rank >= skip) & (rank < skip + take)
+                    a, b = ids[x[pick]], ids[c[pick]]
+                    found.append((np.minimum(a, b), np.maximum(a, b), e[pick]))
             if found:
-                a, b, e = (np.concatenate(c) for c in zip(*found))
-                a, b, e = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())]
-                yield pa.RecordBatch.from_arrays([a, b, e], names=["a", "b", "e"])
-            if rest:
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.float64())], names=["a", "b", "e"])
+                yield _pair_rows(*(np.concatenate(c) for c in zip(*found)))
+            if more:
+                yield _pair_rows([None], [None], [None])
 
     return run
 
 
 def regions(nodes: DataFrame, region_rows: int = REGION_ROWS) -> DataFrame:
-    """(key, tree, id, n, sig): rows of every region with two nodes or more, each
-    of at most about ``region_rows`` nodes, by adaptive depth."""
-    live = nodes.select("id", "n", "sig", F.posexplode("keys").alias("tree", "key"))
+    """(key, tree, id): rows of every region with two nodes or more, each of at most
+    about ``region_rows`` nodes, by adaptive depth."""
     depth, done = DEPTH, None
-    ids = live.select("key", "tree", "id")
+    ids = nodes.select("id", F.posexplode("keys").alias("tree", "key")).select("key", "tree", "id")
     while True:
         counts = ids.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("head")).where("c > 1")
         kept = cut(ids.join(counts, "key"))
@@ -195,48 +244,53 @@ def regions(nodes: DataFrame, region_rows: int = REGION_ROWS) -> DataFrame:
         heads = big.select("key", "tree", F.col("head").alias("id")).distinct()
         ids = cut(big.select("key", "tree", "id").unionByName(heads).distinct())
         depth += 4
-    return cut(done.join(nodes.select("id", "n", "sig"), "id").select("key", "tree", "id", "n", "sig"))
+    return cut(done)
 
 
 def near_links(nodes: DataFrame, texts: DataFrame, similarity: int = SIMILARITY, region_rows: int = REGION_ROWS) -> DataFrame:
     """(id, component) over ``nodes`` (id, n, keys, sig) whose texts are (id, text)."""
     area = regions(nodes, region_rows)
     wanted = area.select("id").distinct()
-    sets = cut(texts.join(wanted, "id").select("id", "text").mapInArrow(_set_rows, "id long, s binary"))
+    sets = cut(texts.join(wanted, "id").select("id", "text").mapInArrow(_set_rows, "id long, s binary, wide binary"))
 
     def check(pairs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
         return cut(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_checked(similarity), "a long, b long, linked boolean"))
 
-    def by_region(take, skip, comp) -> DataFrame:
-        rows = area.withColumn("component", F.lit(0).cast("long")) if comp is None else area.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rows = rows.select("key", "tree", "id", "n", "sig", "component").repartition("key").sortWithinPartitions("key", "id")
-        return rows.mapInArrow(_region_pairs(take, skip), "a long, b long, e double")
-
-    def open_pairs(pairs: DataFrame, comp: DataFrame, tested: DataFrame) -> DataFrame:
+    def still_open(pairs: DataFrame, comp: DataFrame, tested: DataFrame) -> DataFrame:
         ca, cb = (comp.select(F.col("id").alias(c), F.col("component").alias("c" + c)) for c in "ab")
         pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         return pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
 
-    near = cut(by_region(None, 0, None).groupBy("a", "b").agg(F.max("e").alias("e")))
+    def by_region(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "id")
+
+    near = by_region(area.join(nodes.select("id", "sig"), "id").select("key", "tree", "id", "sig"))
+    near = cut(near.mapInArrow(_neighbour_pairs, "a long, b long, e double").groupBy("a", "b").agg(F.max("e").alias("e")))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
-    best = both.groupBy("a").agg(F.max_by("b", F.col("e") - F.col("b") * 1e-30).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    best = both.groupBy("a").agg(F.max_by("b", "e").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = check(best)
-    links = tested.where("linked")
-    comp = components(links)
-    last = check(open_pairs(near, comp, tested))
-    tested, links = tested.unionByName(last), links.unionByName(last.where("linked"))
-    comp = components(links)
-    skip, take = 0, 16
+    comp = components(tested.where("linked"))
+    last = check(still_open(near, comp, tested))
+    tested = tested.unionByName(last)
+    if last.where("linked").limit(1).count():
+        comp = components(tested.where("linked"))
+    places = area.groupBy("id", "tree").agg(F.min("key").alias("key")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("m"))
+    places = places.select("id", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0).cast("long"))).alias("places"))
+    wide = cut(nodes.select("id", "n").join(sets.select("id", "wide"), "id").join(places, "id"))
+    skip, take = 0, 32
     while True:
-        found = cut(by_region(take, skip, comp))
-        last = check(open_pairs(found.where("a IS NOT NULL"), comp, tested))
+        named = area.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        rows = named.join(split, "key", "left_semi").join(wide, "id").select("key", "tree", "id", "n", "wide", "places", "component")
+        found = cut(by_region(rows).mapInArrow(_open_pairs(skip, take), "a long, b long, e double"))
+        last = check(still_open(found.where("a IS NOT NULL"), comp, tested))
         if last.where("linked").limit(1).count():
-            tested, links = tested.unionByName(last), links.unionByName(last.where("linked"))
-            comp = components(links)
+            tested = tested.unionByName(last)
+            comp = components(tested.where("linked"))
         if not found.where("a IS NULL").limit(1).count():
             return comp
-        skip, take = skip + take, take * 4
+        skip, take = skip + take, 1 << 40
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: int = SIMILARITY, region_rows: int = REGION_ROWS) -> DataFrame:
