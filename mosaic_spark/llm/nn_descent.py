@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, whole_groups
@@ -130,10 +130,11 @@ def _local_join(keep: int):
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best partners of every node, by a bounded ordered aggregate."""
+    """The ``k`` best partners of every node. The rank filter is pushed below the
+    exchange as a group limit, so a hub sends at most k rows from each task."""
     both = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
-    top = both.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "b")), False), 1, k).alias("t"))
-    return top.select("a", F.explode("t").alias("t")).select("a", "t.b", "t.s")
+    order = Window.partitionBy("a").orderBy(F.col("s").desc(), "b")
+    return both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("a", "b", "s")
 
 
 def _round(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
