@@ -31,7 +31,7 @@ from .common import cut, slices, text_buffers, whole_groups
 from .lsh_forest import mixed
 
 DEPTH, DIGIT = 100, 32
-HOT_ROWS = 200_000
+HOT_ROWS = 100_000
 #: Bytes looked at in one go; positions inside fit the anchor's packed low bits.
 AT_ONCE = 1 << 20
 _LOW = np.uint64(AT_ONCE * 2 - 1)
