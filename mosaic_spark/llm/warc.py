@@ -1,8 +1,7 @@
 """WARC archives of pages: writer, and a salvage reader for damaged files.
 
-The writer composes records in SQL and lets Spark's text sink write them, the
-record terminator being its line separator, so an archive goes wherever Spark can
-write. A payload that several pages share is stored once; the others are revisit
+The writer composes records in SQL, compresses each to a gzip member and lets Spark's
+text sink write them, so an archive goes wherever Spark can write. A payload that several pages share is stored once; the others are revisit
 records that refer to it.
 
 The reader frames records by their own lengths and checks version line, header,
@@ -25,10 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 #: Records of an archive at most; with Spark's partition size this bounds a file.
 ARCHIVE_RECORDS = 10_000
-#: Archive files read into one row at most, by Spark's own limit on binary files.
 SCHEMA = "archive string, start long, stop long, status string, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -49,9 +47,25 @@ def _with_reference(pages: DataFrame, page_id: str, html: str, least_bytes: int)
     return rows.withColumn("refers_to", F.when(again, F.col("keep")))
 
 
-def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
+#: The shortest gzip member, of no bytes: written between records as the text sink's
+#: line separator, so that a file is nothing but gzip members.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A gzip member of every (header, block) record."""
+    for b in batches:
+        for i in range(0, len(b), 500):
+            part, out = b.slice(i, 500), []
+            for head, block in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                out.append(z.compress(head.encode() + block.encode() + END) + z.flush())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+
+
+def _header(fields: list[tuple[str, Column]]) -> Column:
     lines = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v.cast("string"), F.lit("\r\n"))).otherwise("") for k, v in fields]
-    return F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), block)
+    return F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"))
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", html: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> str:
@@ -77,8 +91,9 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", html:
         ("Content-Type", F.lit("text/html; charset=utf-8")),
         ("Content-Length", F.octet_length(block)),
     ]
-    record = _record(fields, block)
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    members = rows.select(_header(fields).alias("head"), block.alias("block")).mapInArrow(_members, "member binary")
+    lines = members.select(F.col("member").cast("string").alias("value")).write
+    lines.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
     return path
 
 
