@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CATEGORIES, FOLDS, TERMS = 3, 4, 3000
-MOST_TOXIC, MOST_CLEAN = 2500, 4000
+MOST_TOXIC, MOST_CLEAN = 1200, 2400
 LEAST_DOCS = 4
 _WORD = re.compile(r"[^\W\d_]+")
 _HEADS = (4, 5, 6)
