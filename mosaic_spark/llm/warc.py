@@ -97,7 +97,8 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", html:
     return path
 
 
-_NEXT = re.compile(rb"(?:^|(?<=\n))WARC/1\.[01]\r\n|\x1f\x8b\x08")
+#: A record cut short may leave the next version line inside a line.
+_NEXT = re.compile(rb"WARC/1\.[01]\r\n(?=[!-9;-~]+:)|\x1f\x8b\x08")
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\Z")
 
 
