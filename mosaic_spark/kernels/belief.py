@@ -58,20 +58,34 @@ class Family:
         one = np.full((self.m, 3), 1 / 3)
         self.to_parent = [one.copy() for _ in up]
         self.to_child = [one.copy() for _ in up]  # by child
-        r = [0.5 * (1 - (1 - 2 * rates) ** max(1, k)) for k in meioses]
-        self.move = [(1 - x)[:, None, None] * np.eye(3) + x[:, None, None] * stationary[v][None, None, :] for v, x in enumerate(r)]
+        # a step keeps the state with 1 - r or draws it anew from the stationary shares
+        self.fresh = [(0.5 * (1 - (1 - 2 * rates) ** max(1, k))).tolist() for k in meioses]
+        self.stationary = [np.asarray(x, float).tolist() for x in stationary]
         self.belief = [None] * self.n
 
     def refresh(self, v: int, tilt: np.ndarray) -> None:
-        local, move = self.emission[v] * tilt, self.move[v]
-        f, b = np.empty((self.m, 3)), np.empty((self.m, 3))
-        f[0] = normalised(self.start[v] * local[0])
-        for i in range(1, self.m):
-            f[i] = normalised((f[i - 1] @ move[i - 1]) * local[i])
-        b[-1] = 1 / 3
+        """Forward-backward of one chain. Messages are normalised, so drawing anew adds
+        r times the stationary shares; plain floats beat arrays of three."""
+        local, fresh, (p0, p1, p2) = (self.emission[v] * tilt).tolist(), self.fresh[v], self.stationary[v]
+        a, b, c = (x * y for x, y in zip(self.start[v], local[0]))
+        f = []
+        for i in range(self.m):
+            if i:
+                r, (x, y, z) = fresh[i - 1], local[i]
+                a, b, c = ((1 - r) * a + r * p0) * x, ((1 - r) * b + r * p1) * y, ((1 - r) * c + r * p2) * z
+            s = a + b + c
+            a, b, c = (a / s, b / s, c / s) if s > 0 else (1 / 3, 1 / 3, 1 / 3)
+            f.append((a, b, c))
+        back, a, b, c = [(1 / 3, 1 / 3, 1 / 3)] * self.m, 1 / 3, 1 / 3, 1 / 3
         for i in range(self.m - 2, -1, -1):
-            b[i] = normalised(move[i] @ (local[i + 1] * b[i + 1]))
-        self.belief[v] = normalised(f * b)
+            r, (x, y, z) = fresh[i], local[i + 1]
+            a, b, c = a * x, b * y, c * z
+            d = r * (p0 * a + p1 * b + p2 * c)
+            a, b, c = (1 - r) * a + d, (1 - r) * b + d, (1 - r) * c + d
+            s = a + b + c
+            a, b, c = (a / s, b / s, c / s) if s > 0 else (1 / 3, 1 / 3, 1 / 3)
+            back[i] = (a, b, c)
+        self.belief[v] = normalised(np.array(f) * np.array(back))
 
     def incoming(self, v: int) -> np.ndarray:
         out = np.ones((self.m, 3))

@@ -57,6 +57,6 @@ def interpolate_genotype(geno: DataFrame, target: DataFrame, mode: str = "contin
         "continuous": line,
         "step": F.when(w < 0.5, vl).otherwise(vr),
         "round": F.round(line),
-        "chen2019": F.when(F.col("in_range") & ((F.col(coord) == F.col("left")) | (vl == vr)), vl),
+        "chen2019": F.when((F.col(coord) == F.col("left")) | (F.col("in_range") & (vl == vr)), vl),
     }[mode]
     return rows.select("chr", coord, "sample", value.alias("dosage"))

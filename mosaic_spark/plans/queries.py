@@ -48,12 +48,12 @@ def segregating_sites(spark, d):
 
 @query
 def genotype_flat(spark, d):
-    return call_gt(obs(spark, d), "flat")
+    return call_gt(obs(spark, d), "flat", ret="dosage")
 
 
 @query
 def genotype_hwe(spark, d):
-    return call_gt(obs(spark, d), "hwe")
+    return call_gt(obs(spark, d), "hwe", ret="dosage")
 
 
 @query

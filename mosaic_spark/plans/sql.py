@@ -201,8 +201,8 @@ def oracle_sql() -> dict[str, str]:
   CASE WHEN n0 + n1 + n2 = 0 THEN 0.0 ELSE {_MM} / (2 * (n0 + n1 + n2)) END AS maf, CASE WHEN n0 + n1 + n2 = 0 THEN 0.0 ELSE CAST(n1 AS DOUBLE) / (n0 + n1 + n2) END AS p_het FROM s""",
         "segregating_sites": f"""{_SITE}, q AS (SELECT chr, pos, {_MM} AS k, 2 * (n0 + n1 + n2) AS m FROM s)
 SELECT chr, pos, k > 0 AND {_binomial(0.25)} > {_binomial(0.5)} AND {_binomial(0.25)} > {_binomial(0.002)} AS seg FROM q""",
-        "genotype_flat": _genotype(_FLAT),
-        "genotype_hwe": _genotype(_HWE),
+        "genotype_flat": _genotype(_FLAT, "DOUBLE"),
+        "genotype_hwe": _genotype(_HWE, "DOUBLE"),
         "genotype_prior": _genotype(_FIXED, "DOUBLE"),
         "genotype_posterior": f"""WITH {_OBS}, s AS (SELECT *, n_ref * ln(0.99) + n_alt * ln(0.01) AS s0, (n_ref + n_alt) * ln(0.5) AS s1, n_ref * ln(0.01) + n_alt * ln(0.99) AS s2 FROM obs),
 e AS (SELECT *, exp(s0 - greatest(s0, s1, s2)) AS e0, exp(s1 - greatest(s0, s1, s2)) AS e1, exp(s2 - greatest(s0, s1, s2)) AS e2 FROM s)

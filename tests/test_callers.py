@@ -193,7 +193,7 @@ def test_pedigree_and_refinement(spark):
     via = callers.call_states(mosaic, "pedigree", design="BC2S3", pedigree=ped)
     assert rows(refined.select("name", "chr", "pos", "state")) == rows(via.select("name", "chr", "pos", "state"))
     with pytest.raises(ValueError, match="exactly one root"):
-        callers.call_states(counts, "pedigree", design="BC2S3", pedigree=ped.where("parent1 IS NOT NULL"))
+        callers.call_states(counts, "pedigree", design="BC2S3", pedigree=ped.where("NOT endswith(taxon, '_g1')"))
 
 
 def test_contracts(spark, data):
