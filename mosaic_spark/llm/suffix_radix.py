@@ -5,17 +5,21 @@ passes; suffixes that are equal to that depth are the repeated windows.
 
 Anchors. The first digit is a ``DIGIT``-byte gram. Of the grams inside a window the
 one with the smallest hash (the leftmost of equals) is its anchor, so equal windows
-have equal anchors at equal places, and about one position in 35 enters the sort.
+have equal anchors at equal places, and about one position in 40 enters the sort.
 
-Pass 1 groups anchors by gram. A gram that occurs once ends all its windows there;
-each document gets back its list of such grams.
+Copies. Of equal whole texts only the first takes part; all windows of the others
+start earlier there.
+
+Pass 1 groups anchors by gram, merged map-side. A gram that one text holds once ends
+its windows there. The repeated grams go back to the documents: as an array while
+there are at most ``FEW`` of them, else by a join, so nothing unbounded is sent out.
 Pass 2 sorts the windows around the anchors that are left, by gram and then by
-bytes to full depth, and keeps the first of every group of equals. Copies inside a
-batch are merged before they are shuffled. A gram that more than ``hot_rows``
+bytes to full depth, and keeps the first of every group of equals. Equal contexts of
+a batch are merged before they are shuffled. A gram that more than ``hot_rows``
 anchors hold is replaced by the digits of its single windows, so a passage in a
 third of all documents is dealt out by content.
 
-A document reports n_removed from its windows that are not the first of a group."""
+A document's bytes go where windows lie that are not the first of their group."""
 
 from __future__ import annotations
 
@@ -30,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut, slices, text_buffers, whole_groups
 from .lsh_forest import mixed
 
-DEPTH, DIGIT = 100, 32
+DEPTH, DIGIT = 100, 24
+#: Entries at most of an array that goes along with tasks.
+FEW = 2_000_000
 HOT_ROWS = 100_000
 #: Bytes looked at in one go; positions inside fit the anchor's packed low bits.
 AT_ONCE = 1 << 20
@@ -92,47 +98,91 @@ def anchor_runs(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (tid, text): for every gram of a batch the smallest and largest text it
+    is in, and its number. A gram twice in one text counts as in two."""
     for b in batches:
         raw, off = text_buffers(b.column(1))
-        rid = b.column(0).to_numpy(zero_copy_only=False)
+        tid = b.column(0).to_numpy(zero_copy_only=False)
         for i, j in slices(off, 16_000_000):
             base = off[i]
-            found = [(r, h) for r, _, _, _, h in anchor_runs(raw[base : off[j]], off[i : j + 1] - base)]
+            found = [(r, a, h) for r, _, _, a, h in anchor_runs(raw[base : off[j]], off[i : j + 1] - base)]
             if not found:
                 continue
-            row, h = (np.concatenate(c) for c in zip(*found))
-            h, at, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64()), pa.array(rid[i:j][row[at]])], names=["h", "n", "rid"])
-
-
-def _lists(column: pa.Array, i: int, j: int) -> np.ndarray:
-    return np.sort(column.slice(i, j - i).flatten().to_numpy(zero_copy_only=False))
+            row, anchor, h = (np.concatenate(c) for c in zip(*found))
+            fresh = np.append(True, anchor[1:] != anchor[:-1])  # a run cut at a chunk's end is one anchor
+            row, h = row[fresh], h[fresh].view(np.int64)
+            t = tid[i:j][row]
+            order = np.lexsort((row, t, h))
+            h, t, row = h[order], t[order], row[order]
+            twice = np.zeros(len(h), bool)
+            twice[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            n = np.diff(np.append(start, len(h)))
+            lo, hi = t[start], t[start + n - 1]
+            hi = np.where(np.logical_or.reduceat(twice, start) & (lo == hi), lo ^ 1, hi)
+            yield pa.RecordBatch.from_arrays([pa.array(h[start]), pa.array(np.minimum(lo, hi)), pa.array(np.maximum(lo, hi)), pa.array(n, pa.int64())], names=["h", "lo", "hi", "n"])
+
+
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (rid, text): (h, rid), once each."""
+    for b in batches:
+        raw, off = text_buffers(b.column(1))
+        rid = b.column(0).to_numpy(zero_copy_only=False)
+        for i, j in slices(off, 16_000_000):
+            base = off[i]
+            found = [(r, h) for r, _, _, _, h in anchor_runs(raw[base : off[j]], off[i : j + 1] - base)]
+            if found:
+                row, h = (np.concatenate(c) for c in zip(*found))
+                row, h = np.unique(np.stack([row, h.view(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rid[i:j][row])], names=["h", "rid"])
 
 
-def _repeated(raw, off, once: np.ndarray):
-    """Anchor runs whose gram is not in the sorted list ``once``."""
+def _repeated(raw, off, grams: np.ndarray):
+    """Anchor runs whose gram is in the sorted array ``grams``."""
+    if not len(grams):
+        return
     for row, first, last, anchor, h in anchor_runs(raw, off):
         k = h.view(np.int64)
-        at = np.searchsorted(once, k)
-        keep = once[np.minimum(at, len(once) - 1)] != k if len(once) else np.ones(len(k), bool)
+        keep = grams[np.minimum(np.searchsorted(grams, k), len(grams) - 1)] == k
         if keep.any():
             yield row[keep], first[keep], last[keep], anchor[keep], k[keep]
 
 
-def _contexts(hot: np.ndarray):
-    """Rows (key, lo, ctx, doc_id, rid, pos): windows pos.. of document rid start at
-    lo, lo-1, .. bytes before the gram of ``key``; ctx are their bytes."""
+class _Marks:
+    """What rows (.., grams, copied) know: which grams repeat and which rows are
+    copies of an earlier text; from arrays sent along, or from their own columns."""
+
+    def __init__(self, grams: np.ndarray | None, copied: np.ndarray | None) -> None:
+        self.all_grams, self.all_copied = grams, copied
+
+    def grams(self, column: pa.Array, i: int, j: int) -> np.ndarray:
+        if self.all_grams is not None:
+            return self.all_grams
+        return np.unique(column.slice(i, j - i).flatten().to_numpy(zero_copy_only=False))
+
+    def copied(self, rid: np.ndarray, column: pa.Array) -> np.ndarray:
+        if self.all_copied is not None:
+            return np.isin(rid, self.all_copied)
+        return column.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _contexts(hot: np.ndarray, marks: _Marks):
+    """Of rows (rid, rank, text, grams, copied): (key, lo, ctx, doc_id, rid, pos):
+    windows pos.. of document rid start lo, lo-1, .. bytes before the gram of ``key``;
+    ctx are their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw_all, off_all = text_buffers(b.column(2))
             rid, doc = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            copied = marks.copied(rid, b.column(4))
+            raw_all, off_all = text_buffers(b.column(2))
             for i, j in slices(off_all, 8_000_000):
                 raw, off = raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i]
                 seen: dict[tuple, tuple] = {}
-                for row, first, last, anchor, key in _repeated(raw, off, _lists(b.column(3), i, j)):
+                for row, first, last, anchor, key in _repeated(raw, off, marks.grams(b.column(3), i, j)):
+                    own = ~copied[i:j][row]
                     is_hot = np.isin(key, hot)
-                    for r, f, t, a, k, split in zip(row.tolist(), first.tolist(), last.tolist(), anchor.tolist(), key.tolist(), is_hot.tolist()):
+                    for r, f, t, a, k, split in zip(*(x[own].tolist() for x in (row, first, last, anchor, key, is_hot))):
                         r += i
                         for at, end, kk in ((x, x, None) for x in range(f, t + 1)) if split else ((f, t, k),):
                             ctx = raw[at : end + DEPTH].tobytes()
@@ -145,7 +195,6 @@ def _contexts(hot: np.ndarray):
                     if len(seen) > 100_000:
                         yield _context_rows(seen)
                         seen = {}
-                # a document with repeated grams reports even where all its rows were merged away
                 if seen:
                     yield _context_rows(seen)
 
@@ -189,21 +238,21 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rid_all[i:j]), pa.array(pos_all[i:j], pa.int64()), pa.array(bits, pa.binary())], names=["rid", "pos", "bits"])
 
 
-def _removed(batches: Iterator[pa.RecordBatch], with_bytes: bool = True) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], marks: _Marks, with_bytes: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows (rid, doc_id, text, grams, copied, kept): the result of each."""
     for b in batches:
-        raw_all, off_all = text_buffers(b.column(1))
-        doc, once, kept = b.column(0), b.column(2), b.column(3)
+        rid, doc, kept = b.column(0).to_numpy(zero_copy_only=False), b.column(1), b.column(5)
+        copied = marks.copied(rid, b.column(4))
+        raw_all, off_all = text_buffers(b.column(2))
         for i, j in slices(off_all, 8_000_000):
             raw, off = raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i]
             delta = np.zeros(len(raw) + 1, np.int32)
-            hit: set[int] = set()
-            for row, first, last, _, _ in _repeated(raw, off, _lists(once, i, j)):
+            for row, first, last, _, _ in _repeated(raw, off, marks.grams(b.column(3), i, j)):
                 base = int(first[0])
                 again = np.zeros(int(last[-1]) - base + 1, bool)
                 for f, t in zip(first, last):
                     again[f - base : t - base + 1] = True
                 for r in np.unique(row).tolist():
-                    hit.add(r)
                     for span in kept[i + r].as_py() or ():
                         at = int(off[r]) + span["pos"] - base
                         bits = np.flatnonzero(np.unpackbits(np.frombuffer(span["bits"], np.uint8))) + at
@@ -214,8 +263,9 @@ def _removed(batches: Iterator[pa.RecordBatch], with_bytes: bool = True) -> Iter
             gone = np.cumsum(delta[:-1]) > 0
             rows = []
             for r in range(j - i):
-                text = raw[off[r] : off[r + 1]]
-                g = gone[off[r] : off[r + 1]]
+                text, g = raw[off[r] : off[r + 1]], gone[off[r] : off[r + 1]]
+                if copied[i + r]:
+                    g = np.full(len(text), len(text) >= DEPTH)
                 n = int(g.sum())
                 spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
                 left = (text[~g] if n else text).tobytes()
@@ -224,7 +274,7 @@ def _removed(batches: Iterator[pa.RecordBatch], with_bytes: bool = True) -> Iter
             yield pa.RecordBatch.from_arrays([doc.slice(i, j - i), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3]), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_rows: int = HOT_ROWS, with_bytes: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_rows: int = HOT_ROWS, with_bytes: bool = True, few: int = FEW) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes), a row per
     document.
 
@@ -237,21 +287,28 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ho
     gives an empty result."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rank = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
-    rows = docs.select(F.xxhash64(rank, whole).alias("rid"), rank.alias("rank"), whole.alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    one = rows.select("rid", "text")
-    grams = one.mapInArrow(_anchors, "h long, n long, rid long").groupBy("h").agg(F.sum("n").alias("n"), F.min("rid").alias("rid"))
-    grams = grams.where((F.col("n") == 1) | (F.col("n") > hot_rows))
-    # hot grams have no document; there are fewer than anchors / hot_rows of them
-    lists = cut(grams.groupBy(F.when(F.col("n") == 1, F.col("rid")).alias("rid")).agg(F.collect_list("h").alias("once")))
-    hot = lists.where("rid IS NULL").select("once").collect()
-    hot = np.asarray(hot[0].once if hot else [], np.int64)
-    joined = rows.join(lists.where("rid IS NOT NULL"), "rid", "left").withColumn("once", F.coalesce("once", F.array().cast("array<long>")))
-    work = joined.select("rid", "rank", "text", "once", "doc_id")
-    contexts = work.select("rid", "rank", "text", "once").mapInArrow(_contexts(hot), "key long, lo int, ctx binary, doc_id long, rid long, pos long")
+    rows = docs.select(F.xxhash64(rank, whole).alias("rid"), F.xxhash64(whole).alias("tid"), rank.alias("rank"), F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"))
+    grams = rows.select("tid", "text").mapInArrow(_anchors, "h long, lo long, hi long, n long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    grams = cut(grams.where("lo <> hi").select("h", "n"))
+    # fewer than anchors / hot_rows
+    hot = np.asarray([r.h for r in grams.where(F.col("n") > hot_rows).select("h").collect()], np.int64)
+    first = rows.groupBy("tid").agg(F.min_by("rid", "rank").alias("first"))
+    copies = cut(rows.select("tid", "rid").join(first, "tid").where("rid <> first").select("rid").distinct())
+    work = rows.drop("tid")
+    if grams.count() <= few and copies.count() <= few:
+        sent = [np.sort(np.asarray([r[0] for r in df.collect()], np.int64)) for df in (grams.select("h"), copies)]
+        marks = _Marks(*sent)
+        work = work.withColumns({"grams": F.array().cast("array<long>"), "copied": F.lit(False)})
+    else:
+        marks = _Marks(None, None)
+        own = rows.select("rid", "text").mapInArrow(_grams_of, "h long, rid long").join(grams.select("h"), "h").groupBy("rid").agg(F.collect_list("h").alias("grams"))
+        work = work.join(own, "rid", "left").join(copies.withColumn("copied", F.lit(True)), "rid", "left")
+        work = work.withColumns({"grams": F.coalesce("grams", F.array().cast("array<long>")), "copied": F.coalesce("copied", F.lit(False))})
+    contexts = work.select("rid", "rank", "text", "grams", "copied").mapInArrow(_contexts(hot, marks), "key long, lo int, ctx binary, doc_id long, rid long, pos long")
     firsts = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_firsts, "rid long, pos long, bits binary")
     kept = firsts.groupBy("rid").agg(F.collect_list(F.struct("pos", "bits")).alias("kept"))
-    full = work.join(kept, "rid", "left").select("doc_id", "text", "once", "kept")
-    return full.mapInArrow(lambda batches: _removed(batches, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    full = work.join(kept, "rid", "left").select("rid", "doc_id", "text", "grams", "copied", "kept")
+    return full.mapInArrow(lambda batches: _removed(batches, marks, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
 
 
 def suffix_report(docs: DataFrame) -> DataFrame:

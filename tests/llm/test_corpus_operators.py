@@ -87,10 +87,10 @@ def test_near_dedup_odd_tables(spark):
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True)], key=repr)
 
 
-@pytest.mark.parametrize("hot", [200_000, 3])
-def test_suffix_dedup_matches_plain_version(docs, hot):
+@pytest.mark.parametrize("hot,few", [(200_000, 10**6), (3, 10**6), (200_000, 0), (3, 0)])
+def test_suffix_dedup_matches_plain_version(docs, hot, few):
     data, df = docs
-    got = suffix_radix.suffix_dedup(df, hot_rows=hot).drop("kept_bytes")
+    got = suffix_radix.suffix_dedup(df, hot_rows=hot, few=few).drop("kept_bytes")
     assert rows(got) == sorted(brute.suffixes(data), key=repr)
 
 
@@ -104,7 +104,7 @@ def test_suffix_dedup_across_chunks(spark, monkeypatch):
     windows = set()
     for row, first, last, anchor, _ in suffix_radix.anchor_runs(raw, off):
         for r, f, t, a in zip(row, first, last, anchor):
-            assert off[r] <= f <= t and t + 100 <= off[r + 1] and f <= a + 0 and a <= t + 68
+            assert off[r] <= f <= t and t + 100 <= off[r + 1] and f <= a + 0 and a <= t + 76
             windows |= set(range(f, t + 1))
     assert windows == {p for i, t in enumerate(texts) for p in range(off[i], off[i] + len(t) - 99)}
 
