@@ -274,6 +274,11 @@ def _removed(batches: Iterator[pa.RecordBatch], marks: _Marks, with_bytes: bool)
             yield pa.RecordBatch.from_arrays([doc.slice(i, j - i), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3]), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
 
+def _array(df: DataFrame) -> np.ndarray:
+    """A bounded column of longs, sorted: eight bytes a row on the driver."""
+    return np.sort(df.toArrow().column(0).to_numpy())
+
+
 def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_rows: int = HOT_ROWS, with_bytes: bool = True, few: int = FEW) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes), a row per
     document.
@@ -291,13 +296,12 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ho
     grams = rows.select("tid", "text").mapInArrow(_anchors, "h long, lo long, hi long, n long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     grams = cut(grams.where("lo <> hi").select("h", "n"))
     # fewer than anchors / hot_rows
-    hot = np.asarray([r.h for r in grams.where(F.col("n") > hot_rows).select("h").collect()], np.int64)
+    hot = _array(grams.where(F.col("n") > hot_rows).select("h"))
     first = rows.groupBy("tid").agg(F.min_by("rid", "rank").alias("first"))
     copies = cut(rows.select("tid", "rid").join(first, "tid").where("rid <> first").select("rid").distinct())
     work = rows.drop("tid")
     if grams.count() <= few and copies.count() <= few:
-        sent = [np.sort(np.asarray([r[0] for r in df.collect()], np.int64)) for df in (grams.select("h"), copies)]
-        marks = _Marks(*sent)
+        marks = _Marks(_array(grams.select("h")), _array(copies))
         work = work.withColumns({"grams": F.array().cast("array<long>"), "copied": F.lit(False)})
     else:
         marks = _Marks(None, None)
