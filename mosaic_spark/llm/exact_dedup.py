@@ -83,8 +83,11 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", buc
     for at, (first, local) in enumerate(directory):
         width = 1 << (deepest - local)
         slots[first >> (MAX_DEPTH - deepest) : (first >> (MAX_DEPTH - deepest)) + width] = [at] * width
-    table = entries.sparkSession.createDataFrame([(c, b) for c, b in enumerate(slots)], "cell int, bucket long")
-    entries = entries.withColumn("cell", cell(deepest).cast("int") if deepest else F.lit(0)).join(F.broadcast(table), "cell").drop("cell")
+    if deepest:
+        table = entries.sparkSession.createDataFrame([(c, b) for c, b in enumerate(slots)], "cell int, bucket long")
+        entries = entries.withColumn("cell", cell(deepest).cast("int")).join(F.broadcast(table), "cell").drop("cell")
+    else:
+        entries = entries.withColumn("bucket", F.lit(0).cast("long"))
     return entries.repartitionByRange("key").sortWithinPartitions("key")
 
 
