@@ -47,16 +47,18 @@ def viterbi(start: np.ndarray, step, emission: np.ndarray, length: np.ndarray, l
     scores the first predecessor wins, or the last; the final state is the first."""
     steps, chains, states = emission.shape
     score = (start[:, None] + emission[0].T).astype(emission.dtype)
-    final = score.copy()
     back = np.zeros((steps, states, chains), np.uint8)
     for t in range(1, steps):
         live = int(np.searchsorted(-length, -t, "left"))
         move = step(t)[:, :, :live] if callable(step) else step[:, :, None]
-        s = score[:, :live]
-        for k in range(states):
-            best, back[t, k, :live] = _choose([s[j] + move[j, k] for j in range(states)], last_ties)
-            final[k, :live] = best + emission[t, :live, k]
-        score[:, :live] = final[:, :live]
+        s, arg = score[:, :live], back[t, :, :live]
+        best = s[0] + move[0]
+        for j in range(1, states):
+            other = s[j] + move[j]
+            better = other >= best if last_ties else other > best
+            np.copyto(best, other, where=better)
+            np.copyto(arg, np.uint8(j), where=better)
+        score[:, :live] = best + emission[t, :live].T
     path = np.zeros((steps, chains), np.int8)
     at = score.argmax(axis=0)
     for t in range(steps - 1, -1, -1):

@@ -25,12 +25,12 @@ def _log(x: np.ndarray) -> np.ndarray:
 
 
 def scaled_moves(moves: np.ndarray, gap: np.ndarray, segment: float) -> np.ndarray:
-    """Log moves [from, to, chain] over each chain's gap: the rate of a move per
-    average segment grows with distance as map distance does."""
-    off = ~np.eye(5, dtype=bool)
+    """Log moves [step, from, to, chain] over the gaps [step, chain]: the rate of a move
+    per average segment grows with distance as map distance does."""
+    off = ~np.eye(5, dtype=bool)[:, :, None]
     rate = -np.log(1 - 2 * np.clip(moves, 0, 0.4999)) / 2 / segment
-    p = (1 - np.exp(-2 * rate[:, :, None] * gap)) / 2 * off[:, :, None]
-    return _log(p + np.eye(5)[:, :, None] * (1 - p.sum(axis=1, keepdims=True)))
+    p = (1 - np.exp(-2 * rate[None, :, :, None] * gap[:, None, None, :])) / 2 * off
+    return _log(np.where(off, p, 1 - p.sum(axis=2, keepdims=True)))
 
 
 def impute(g: np.ndarray, pos: np.ndarray, p_het: float, rounds: int = 50) -> tuple[np.ndarray, int]:
@@ -51,11 +51,11 @@ def impute(g: np.ndarray, pos: np.ndarray, p_het: float, rounds: int = 50) -> tu
     states, seen, used = np.zeros(len(calls), np.int64), None, 0
     for used in range(1, rounds + 1):
         logs = _log(emission).T[calls]
-        for chains, size in batches_of(bounds):
+        for chains, size in batches_of(bounds, 200_000):  # 25 moves a cell
             starts = bounds[:-1][chains]
             x = padded(where, starts, size)
-            step = lambda t, x=x: scaled_moves(moves, np.abs(x[t] - x[t - 1]), segment)
-            found = viterbi(start, step, padded(logs, starts, size), size)
+            step = scaled_moves(moves, np.abs(np.diff(x, axis=0)), segment)
+            found = viterbi(start, lambda t, step=step: step[t - 1], padded(logs, starts, size), size)
             inside = np.arange(size[0])[:, None] < size[None, :]
             states[(starts[None, :] + np.arange(size[0])[:, None])[inside]] = found[inside]
         shown = np.bincount(states * 3 + calls, minlength=15).reshape(5, 3)
