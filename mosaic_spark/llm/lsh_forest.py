@@ -5,16 +5,19 @@ whole texts). Identical sets collapse to one node before anything is compared.
 
 Forest. 128 MinHash values make 32 trees; a tree is a sorted signature order and
 a region of it the nodes that share the first four values. A pair at similarity
-0.75 misses every region with probability (1 - 0.75**4)**32 < 1e-5. A region of
-more than ``region_rows`` nodes goes deeper by further values until it fits; its
-smallest node stays a member of every part.
+0.75 misses every region with probability (1 - 0.75**4)**32 < 1e-5. To find
+neighbours, a region of more than ``region_rows`` nodes goes deeper by further values
+until it fits; its smallest node stays a member of every part. Its other pairs are
+reached in the region itself, dealt as blocks.
 
 Candidates. Longest-common-prefix neighbours in each order come first. Each node
 checks its best neighbour, then neighbours that are still in another component.
 After that only nodes outside the largest component of a region remain: they meet
 the others of their region in order of estimated similarity, the nearest first and then
 all, until no pair of different components is left. So a group of m copies
-costs about m checks and no link between components is left out.
+costs about m checks and no link between components is left out. In a region of more
+than ``region_rows`` nodes, blocks of these open nodes meet blocks of all its nodes,
+each pair of blocks in a task of its own.
 
 Checks compare full shingle sets: 100 * intersection >= 75 * union."""
 
@@ -178,15 +181,16 @@ def _pair_rows(a, b, e) -> pa.RecordBatch:
 
 
 def _open_pairs(skip: int, take: int):
-    """Of regions, rows (key, tree, id, n, wide, places, component): for every node
+    """Of regions, rows (key, tree, id, n, wide, places, component, side): for every node
     outside the region's largest component, its partners number skip..skip+take by
     estimated similarity, as far as they are in other components. A pair counts only
     in the first tree whose region it shares (places: a node's region in every tree).
-    (null, null) says that partners beyond remain."""
+    Of a pair of blocks, rows of side 1 are the open nodes and of side 2 the partners;
+    whole regions have side 0. (null, null) says that partners beyond remain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in whole_groups(batches):
-            tree, all_ids, all_n, all_comp = (whole.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 6))
+            tree, all_ids, all_n, all_comp, all_side = (whole.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 6, 7))
             all_wide = text_buffers(whole.column(4))[0].reshape(-1, WIDE)
             all_places = whole.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, TREES)
             found, more = [], False
@@ -195,14 +199,19 @@ def _open_pairs(skip: int, take: int):
                 names, which, size = np.unique(comp, return_inverse=True, return_counts=True)
                 if len(names) < 2:
                     continue
-                small = np.flatnonzero(which != size.argmax())
-                block = max(1, 1_000_000 // len(ids))
+                side = all_side[i:j]
+                small = np.flatnonzero(side == 1 if side.any() else which != size.argmax())
+                other = np.flatnonzero(side != 1)
+                if not len(small) or not len(other):
+                    continue
+                ow, on = wide[other, :VALUES], n[other]
+                block = max(1, 1_000_000 // len(other))
                 for k in range(0, len(small), block):
                     rows = small[k : k + block]
-                    near = (estimates(wide[rows, :VALUES], wide[:, :VALUES]) >= LEAST_ESTIMATE) & _near_sizes(n[rows, None], n[None, :])
+                    near = (estimates(wide[rows, :VALUES], ow) >= LEAST_ESTIMATE) & _near_sizes(n[rows, None], on[None, :])
                     r, c = np.nonzero(near)
-                    x = rows[r]
-                    fresh = (x != c) & ~((places[x, :t] == places[c, :t]) & (places[x, :t] != 0)).any(axis=1)
+                    x, c = rows[r], other[c]
+                    fresh = (ids[x] != ids[c]) & ~((places[x, :t] == places[c, :t]) & (places[x, :t] != 0)).any(axis=1)
                     r, c = r[fresh], c[fresh]
                     e = np.concatenate([np.zeros(0), *((wide[rows[r[z : z + 20_000]]] == wide[c[z : z + 20_000]]).mean(axis=1) for z in range(0, len(r), 20_000))])
                     ok = e >= LEAST_WIDE
@@ -223,19 +232,22 @@ def _open_pairs(skip: int, take: int):
     return run
 
 
-def regions(nodes: DataFrame, region_rows: int = REGION_ROWS) -> DataFrame:
-    """(key, tree, id): rows of every region with two nodes or more, each of at most
-    about ``region_rows`` nodes, by adaptive depth."""
-    depth, done = DEPTH, None
+def regions(nodes: DataFrame, region_rows: int = REGION_ROWS) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows of every region with two nodes or more: (key, tree, id, c), c its nodes, and
+    (key, tree, id) of parts of at most about ``region_rows`` nodes, by adaptive depth.
+    The last says whether there are larger regions than that."""
+    depth, done, area, large = DEPTH, None, None, False
     ids = nodes.select("id", F.posexplode("keys").alias("tree", "key")).select("key", "tree", "id")
     while True:
         counts = ids.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("head")).where("c > 1")
         kept = cut(ids.join(counts, "key"))
+        area = kept.select("key", "tree", "id", "c") if area is None else area
         fits = kept.where(F.col("c") <= region_rows).select("key", "tree", "id")
         done = fits if done is None else done.unionByName(fits)
         big = kept.where(F.col("c") > region_rows)
         if not big.limit(1).count():
             break
+        large = True
         # deeper by four more values of the tree's order; at the end of the signature, by id
         big = big.join(nodes.select("id", "sig"), "id")
         at = F.pmod(F.col("tree") * DEPTH + depth, F.lit(VALUES)) + 1
@@ -244,12 +256,25 @@ def regions(nodes: DataFrame, region_rows: int = REGION_ROWS) -> DataFrame:
         heads = big.select("key", "tree", F.col("head").alias("id")).distinct()
         ids = cut(big.select("key", "tree", "id").unionByName(heads).distinct())
         depth += 4
-    return cut(done)
+    return area, done, large
+
+
+def _blocks(named: DataFrame, region_rows: int) -> DataFrame:
+    """Of rows (key, tree, id, c, component) of large regions: blocks of the nodes outside
+    the region's largest component with blocks of all nodes, each pair of blocks a key."""
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.first("c").alias("c"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.first("c").alias("c")).where("most.n < c")
+    most = most.select("key", F.col("most.component").alias("largest"), F.ceil((F.col("c") - F.col("most.n")) / region_rows).alias("ps"), F.ceil(F.col("c") / region_rows).alias("qs"))
+    rows, deal = named.join(most, "key"), lambda seed, parts: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    small = rows.where(F.col("component") != F.col("largest")).withColumn("p", deal(1, "ps")).withColumn("q", every("qs")).withColumn("side", F.lit(1))
+    other = rows.withColumn("q", deal(2, "qs")).withColumn("p", every("ps")).withColumn("side", F.lit(2))
+    return small.unionByName(other).select(F.xxhash64("key", "p", "q").alias("key"), "tree", "id", "component", "side")
 
 
 def near_links(nodes: DataFrame, texts: DataFrame, similarity: int = SIMILARITY, region_rows: int = REGION_ROWS) -> DataFrame:
     """(id, component) over ``nodes`` (id, n, keys, sig) whose texts are (id, text)."""
-    area = regions(nodes, region_rows)
+    area, parts, large = regions(nodes, region_rows)
     wanted = area.select("id").distinct()
     sets = cut(texts.join(wanted, "id").select("id", "text").mapInArrow(_set_rows, "id long, s binary, wide binary"))
 
@@ -265,7 +290,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, similarity: int = SIMILARITY,
     def by_region(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "id")
 
-    near = by_region(area.join(nodes.select("id", "sig"), "id").select("key", "tree", "id", "sig"))
+    near = by_region(parts.join(nodes.select("id", "sig"), "id").select("key", "tree", "id", "sig"))
     near = cut(near.mapInArrow(_neighbour_pairs, "a long, b long, e double").groupBy("a", "b").agg(F.max("e").alias("e")))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
     best = both.groupBy("a").agg(F.max_by("b", "e").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -275,14 +300,16 @@ def near_links(nodes: DataFrame, texts: DataFrame, similarity: int = SIMILARITY,
     tested = tested.unionByName(last)
     if last.where("linked").limit(1).count():
         comp = components(tested.where("linked"))
-    places = area.groupBy("id", "tree").agg(F.min("key").alias("key")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("m"))
-    places = places.select("id", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0).cast("long"))).alias("places"))
-    wide = cut(nodes.select("id", "n").join(sets.select("id", "wide"), "id").join(places, "id"))
+    wide = cut(nodes.select("id", "n", F.col("keys").alias("places")).join(sets.select("id", "wide"), "id"))
     skip, take = 0, 32
     while True:
         named = area.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rows = named.join(split, "key", "left_semi").join(wide, "id").select("key", "tree", "id", "n", "wide", "places", "component")
+        small = named.where(F.col("c") <= region_rows)
+        split = small.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        rows = small.join(split, "key", "left_semi").select("key", "tree", "id", "component", F.lit(0).alias("side"))
+        if large:
+            rows = rows.unionByName(_blocks(named.where(F.col("c") > region_rows), region_rows))
+        rows = rows.join(wide, "id").select("key", "tree", "id", "n", "wide", "places", "component", "side")
         found = cut(by_region(rows).mapInArrow(_open_pairs(skip, take), "a long, b long, e double"))
         last = check(still_open(found.where("a IS NOT NULL"), comp, tested))
         if last.where("linked").limit(1).count():

@@ -80,6 +80,35 @@ def test_star_whose_leaves_do_not_link(spark):
     assert rows(lsh_forest.near_dedup(df)) == sorted(brute.near(data), key=repr)
 
 
+def _one_region(spark, texts, region_rows):
+    """Components of texts that share the region of one tree, with signatures that
+    agree nowhere: deeper parts and prefix neighbours bring no pair."""
+    rng = np.random.default_rng(8)
+    rows = [(i, len(brute.shingles(t)), [77] + [1000 + 40 * i + k for k in range(lsh_forest.TREES - 1)], rng.bytes(lsh_forest.VALUES)) for i, t in enumerate(texts)]
+    nodes = spark.createDataFrame([(i, n, k, bytearray(s)) for i, n, k, s in rows], "id long, n long, keys array<long>, sig binary")
+    comp = lsh_forest.near_links(nodes, spark.createDataFrame(list(enumerate(texts)), "id long, text string"), region_rows=region_rows)
+    found = dict(map(tuple, comp.collect()))
+    return {i: found.get(i, i) for i in range(len(texts))}
+
+
+def _edited(words, places, name):
+    return " ".join(f"{name}x{p}" if p in places else w for p, w in enumerate(words))
+
+
+@pytest.mark.parametrize("region_rows", [3, 10**6])
+def test_oversized_region_keeps_links_away_from_its_smallest_id(spark, region_rows):
+    import random
+
+    rng = random.Random(6)
+    base = corpora.words(rng, 400)
+    texts = [_edited(base, set(range(i % 7, 395, 9)), f"t{i}") for i in range(10)]
+    for k in (4, 7):
+        texts.append(_edited(texts[k].split(), set(range(3, 395, 41)), f"copy{k}"))
+    want = {i: root for i, _, root, _ in brute.near(list(enumerate(texts)))}
+    assert want[10] == 4 and want[11] == 7 and want[0] == 0 and len(set(want.values())) == 10
+    assert _one_region(spark, texts, region_rows) == want
+
+
 def test_near_dedup_odd_tables(spark):
     assert lsh_forest.near_dedup(spark.createDataFrame([], corpora.SCHEMA)).count() == 0
     odd = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, None), (4, "")], corpora.SCHEMA)
