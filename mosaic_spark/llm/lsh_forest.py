@@ -301,7 +301,8 @@ def near_links(nodes: DataFrame, texts: DataFrame, similarity: int = SIMILARITY,
     if last.where("linked").limit(1).count():
         comp = components(tested.where("linked"))
     wide = cut(nodes.select("id", "n", F.col("keys").alias("places")).join(sets.select("id", "wide"), "id"))
-    skip, take = 0, 32
+    # the second round starts over, as another component may be the largest by then
+    take = 32
     while True:
         named = area.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
         small = named.where(F.col("c") <= region_rows)
@@ -310,14 +311,14 @@ def near_links(nodes: DataFrame, texts: DataFrame, similarity: int = SIMILARITY,
         if large:
             rows = rows.unionByName(_blocks(named.where(F.col("c") > region_rows), region_rows))
         rows = rows.join(wide, "id").select("key", "tree", "id", "n", "wide", "places", "component", "side")
-        found = cut(by_region(rows).mapInArrow(_open_pairs(skip, take), "a long, b long, e double"))
+        found = cut(by_region(rows).mapInArrow(_open_pairs(0, take), "a long, b long, e double"))
         last = check(still_open(found.where("a IS NOT NULL"), comp, tested))
         if last.where("linked").limit(1).count():
             tested = tested.unionByName(last)
             comp = components(tested.where("linked"))
         if not found.where("a IS NULL").limit(1).count():
             return comp
-        skip, take = skip + take, 1 << 40
+        take = 1 << 40
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: int = SIMILARITY, region_rows: int = REGION_ROWS) -> DataFrame:

@@ -109,6 +109,19 @@ def test_oversized_region_keeps_links_away_from_its_smallest_id(spark, region_ro
     assert _one_region(spark, texts, region_rows) == want
 
 
+def test_link_beyond_the_first_partners_when_the_largest_component_changes(spark):
+    """Node 0 stands for the largest component in the first round, as all have one
+    node; its only partner has 39 nearer ones."""
+    import random
+
+    base = corpora.words(random.Random(7), 400)
+    spots = set(range(5, 375, 35))
+    texts = [_edited(base, spots, "zero"), " ".join(base), *(_edited(base, {p}, "near") for p in [p for p in range(12, 390, 3) if all(abs(p - q) > 5 for q in spots)][:39])]
+    want = {i: root for i, _, root, _ in brute.near(list(enumerate(texts)))}
+    assert len(texts) == 41 and set(want.values()) == {0}
+    assert _one_region(spark, texts, 10**6) == want
+
+
 def test_near_dedup_odd_tables(spark):
     assert lsh_forest.near_dedup(spark.createDataFrame([], corpora.SCHEMA)).count() == 0
     odd = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, None), (4, "")], corpora.SCHEMA)
