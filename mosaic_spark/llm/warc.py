@@ -7,7 +7,8 @@ records that refer to it.
 The reader frames records by their own lengths and checks version line, header,
 length, terminator and payload digest. After a failed check it searches for the
 next gzip member or version line from there, goes on, and logs the bytes in
-between as a quarantined gap."""
+between as a quarantined gap. The bytes of a gzip member are searched in the same way
+once decompressed, as far as a cut or damaged stream gives them."""
 
 from __future__ import annotations
 
@@ -99,6 +100,9 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", html:
 
 #: A record cut short may leave the next version line inside a line.
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n(?=[!-9;-~]+:)|\x1f\x8b\x08")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n(?=[!-9;-~]+:)")
+#: Compressed bytes that a member takes at a time.
+_STEP = 1 << 16
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\Z")
 
 
@@ -126,48 +130,99 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict, bytes]]:
     """(start, stop, status, fields, payload) of every record and gap, in order.
 
     status is "ok", "digest" (framing held, payload digest did not: the bytes are
-    quarantined) or "gap" (bytes skipped until the next member or version line).
-    Offsets of records inside a gzip member are those of the member. An empty file
-    has none."""
+    quarantined), "unverified" (a record without a digest in a damaged gzip stream) or
+    "gap" (bytes skipped until the next member or version line). Offsets of records and
+    gaps inside a gzip member are those of the member. An empty file has none."""
     at, n, bad = 0, len(data), None
     while at < n:
-        got, end = None, at
+        got, end = [], None
         if data.startswith(b"\x1f\x8b\x08", at):
-            got, end = _member(data, at)
+            plain, end, damaged = _member(data, at)
+            got = [(s, f, p) for _, _, s, f, p in _plain(plain, damaged)]
+            if end is not None and not plain:
+                got, at = [], end
+                if bad is not None:
+                    yield bad, at, "gap", {}, b""
+                    bad = None
+                continue
+            if not any(f for _, f, _ in got):
+                got = []
+            elif end is None and got[-1][0] != "gap":
+                got.append(("gap", {}, b""))
         elif frame := _frame(data, at):
-            fields, start, end = frame
-            got = [(fields, data[start : end - 4])]
-        if got is None:
-            bad = at if bad is None else bad
+            status, fields, payload, end = _record(data, at, frame, False)
+            got = [(status, fields, payload)]
+        if end is None:
             m = _NEXT.search(data, at + 1)
+            end = m.start() if m else n
+        if not got:
+            bad = at if bad is None else bad
+        elif bad is not None:
+            yield bad, at, "gap", {}, b""
+            bad = None
+        for status, fields, payload in got:
+            yield at, end, status, fields, payload
+        at = end
+    if bad is not None:
+        yield bad, n, "gap", {}, b""
+
+
+def _plain(data: bytes, damaged: bool) -> Iterator[tuple[int, int, str, dict, bytes]]:
+    """Records and gaps of uncompressed bytes."""
+    at, n, bad = 0, len(data), None
+    while at < n:
+        frame = _frame(data, at)
+        if frame is None:
+            bad = at if bad is None else bad
+            m = _VERSION.search(data, at + 1)
             at = m.start() if m else n
             continue
         if bad is not None:
             yield bad, at, "gap", {}, b""
             bad = None
-        for fields, payload in got:
-            yield at, end, _checked(fields, payload), fields, payload
+        status, fields, payload, end = _record(data, at, frame, damaged)
+        yield at, end, status, fields, payload
         at = end
     if bad is not None:
         yield bad, n, "gap", {}, b""
 
 
-def _member(data: bytes, at: int) -> tuple[list | None, int]:
-    z = zlib.decompressobj(31)
+def _record(data: bytes, at: int, frame: tuple[dict, int, int], damaged: bool) -> tuple[str, dict, bytes, int]:
+    """(status, fields, payload, end). A record whose digest fails may have a wrong length:
+    it ends where a sound record begins inside it."""
+    fields, start, end = frame
+    payload = data[start : end - 4]
+    status = _checked(fields, payload)
+    if status == "digest":
+        for m in _VERSION.finditer(data, start, end):
+            inner = _frame(data, m.start())
+            if inner and _checked(inner[0], data[inner[1] : inner[2] - 4]) == "ok":
+                return status, fields, data[start : m.start()], m.start()
+    elif damaged and (fields["warc-type"] == "revisit" or not fields.get("warc-payload-digest", "").lower().startswith("sha1:")):
+        status = "unverified"
+    return status, fields, payload, end
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int | None, bool]:
+    """(bytes, end, damaged) of the gzip member at ``at``: all that its stream gives.
+    end is None where the stream is cut or damaged."""
+    z, out, view, i = zlib.decompressobj(31), [], memoryview(data), at
     try:
-        plain = z.decompress(memoryview(data)[at:])
+        while not z.eof and i < len(data):
+            out.append(z.decompress(view[i : i + _STEP]))
+            i += _STEP
     except zlib.error:
-        return None, at
-    if not z.eof:
-        return None, at
-    records, i = [], 0
-    while i < len(plain):
-        frame = _frame(plain, i)
-        if frame is None:
-            return None, at
-        records.append((frame[0], plain[frame[1] : frame[2] - 4]))
-        i = frame[2]
-    return records, len(data) - len(z.unused_data)
+        # once more, byte by byte where it fails
+        z, out = zlib.decompressobj(31), []
+        try:
+            for j in range(at, i, _STEP):
+                out.append(z.decompress(view[j : j + _STEP]))
+            for j in range(i, min(i + _STEP, len(data))):
+                out.append(z.decompress(view[j : j + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), None, True
+    return b"".join(out), min(i, len(data)) - len(z.unused_data) if z.eof else None, False
 
 
 def _checked(fields: dict, payload: bytes) -> str:

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from mosaic_spark.llm import html_extract, toxicity, warc
@@ -136,3 +137,25 @@ def test_salvage_members_and_gap_bytes():
 def test_salvage_checks_digests():
     good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:" + b"A" * 32 + b"\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
     assert [s for _, _, s, _, _ in warc.salvage(good)] == ["digest"]
+
+
+def test_salvage_inside_a_member():
+    a, b, c = record("a", b"one"), record("b", b"two"), record("c", b"three")
+    torn = zlib.compress(a + b[:-9] + c, wbits=31)
+    assert names(torn) == [("ok", "<a>"), ("gap", None), ("ok", "<c>")]
+    noise = np.random.default_rng(1).integers(0, 256, 200_000, np.uint8).tobytes()
+    stream = zlib.compress(a + b + record("n", noise) + c, wbits=31)
+    after = zlib.compress(c, wbits=31)
+    assert names(stream[: len(stream) // 2]) == [("ok", "<a>"), ("ok", "<b>"), ("gap", None)]
+    broken = bytearray(zlib.compress(a + b + record("n", b"xyz" * 99), wbits=31))
+    broken[-8] ^= 0xFF  # its checksum
+    found = names(bytes(broken) + after)
+    assert found[:3] == [("unverified", "<a>"), ("unverified", "<b>"), ("unverified", "<n>")] and found[-1] == ("ok", "<c>")
+
+
+def test_salvage_looks_inside_a_record_whose_digest_fails():
+    a, b, c = record("a", b"one"), record("b", b"two"), record("c", b"three")
+    body = b"one\r\n\r\n" + b[:-4]
+    long = record("a", body).replace(b"Content-Length", b"WARC-Payload-Digest: sha1:" + b"A" * 32 + b"\r\nContent-Length", 1)
+    want = [("digest", "<a>"), ("ok", "<b>"), ("ok", "<c>")]
+    assert names(long + c) == want and names(zlib.compress(long + c, wbits=31)) == want
