@@ -24,8 +24,10 @@ from .common import components, cut, whole_groups
 
 COSINE = 0.95
 NEIGHBOURS, ORDERS, REACH = 12, 12, 6
-#: Vectors that the audit compares with all rows.
-AUDIT = 256
+#: Components whose vectors the audit compares with all rows.
+AUDIT = 4096
+#: Rounds end when fewer of the lists' edges than this share are new, or after so many.
+CHANGED, ROUNDS = 0.01, 8
 BLOCK = 2048
 
 
@@ -144,28 +146,34 @@ def _round(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return _best(graph.unionByName(rows.mapInArrow(_local_join(3), "a long, b long, s double")), k)
 
 
-def _audit(nodes: DataFrame, links: DataFrame, cosine: float, size: int) -> float:
-    """Share of the true links of ``size`` sampled vectors whose two ends the found
-    edges put into one component; the sample is bounded, its rows are compared with
-    every node in one streaming pass."""
-    sample = nodes.orderBy(F.xxhash64("id")).limit(size).select("id", "v").collect()
+def _audit(nodes: DataFrame, links: DataFrame, cosine: float, size: int, seed: int = 0) -> float:
+    """Mean, over sampled vectors with true links, of the share of a vector's links whose two
+    ends the found edges put into one component. A sampled vector is one of its
+    component, so that a large group counts once and small ones as they are many; the
+    sample is bounded, its rows are compared with every node in one streaming pass."""
+    named = nodes.select("id", "v").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    one = named.groupBy("component").agg(F.min_by(F.struct("id", "v"), F.xxhash64("id", F.lit(seed))).alias("x"))
+    sample = one.orderBy(F.xxhash64("component", F.lit(seed))).limit(size).select("x.id", "x.v").collect()
     ids, vec = np.array([r.id for r in sample]), [bytes(r.v) for r in sample]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            other, raw = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for width in {len(x) for x in raw}:
-                at = np.flatnonzero([len(x) == width for x in raw])
-                q = np.flatnonzero([len(x) == width for x in vec])
-                if len(q):
-                    s = np.frombuffer(b"".join(vec[i] for i in q)).reshape(len(q), -1) @ np.frombuffer(b"".join(raw[i] for i in at)).reshape(len(at), -1).T
-                    x, y = np.nonzero(s >= cosine)
-                    yield _edges(ids[q[x]], other[at[y]], s[x, y])
+        for whole in batches:
+            for start in range(0, len(whole), 1000):
+                b = whole.slice(start, 1000)
+                other, raw = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+                for width in {len(x) for x in raw}:
+                    at = np.flatnonzero([len(x) == width for x in raw])
+                    q = np.flatnonzero([len(x) == width for x in vec])
+                    if len(q):
+                        s = np.frombuffer(b"".join(vec[i] for i in q)).reshape(len(q), -1) @ np.frombuffer(b"".join(raw[i] for i in at)).reshape(len(at), -1).T
+                        x, y = np.nonzero(s >= cosine)
+                        yield _edges(ids[q[x]], other[at[y]], s[x, y])
 
     true = nodes.select("id", "v").mapInArrow(run, "a long, b long, s double")
-    named = links.select(F.col("id").alias("a"), F.col("component").alias("ca")), links.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    found = true.join(named[0], "a", "left").join(named[1], "b", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("k")).first()
-    return found.k / found.n if found.n else 1.0
+    ca, cb = (links.select(F.col("id").alias(c), F.col("component").alias("c" + c)) for c in "ab")
+    each = true.join(ca, "a", "left").join(cb, "b", "left").groupBy("a").agg(F.avg(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("int")).alias("share"))
+    share = each.agg(F.avg("share")).first()[0]
+    return 1.0 if share is None else share
 
 
 def _counts(cosine: float):
@@ -210,9 +218,12 @@ def link_graph(nodes: DataFrame, cosine: float = COSINE, k: int = NEIGHBOURS, or
         rows = rows.repartitionByRange("o", "key", "id").sortWithinPartitions("o", "key", "id")
         seeds = rows.mapInArrow(_neighbours(REACH, 4), "a long, b long, s double")
         graph = cut(_best(seeds if graph is None else seeds.unionByName(graph), k))
-        graph = cut(_round(graph, nodes, k))
+        for _ in range(ROUNDS):
+            last, graph = graph, cut(_round(graph, nodes, k))
+            if graph.join(last, ["a", "b"], "left_anti").count() <= CHANGED * graph.count():
+                break
         comp = components(graph.where(F.col("s") >= cosine))
-        share = _audit(nodes, comp, cosine, AUDIT)
+        share = _audit(nodes, comp, cosine, AUDIT, seed + attempt)
         if share >= recall:
             break
     return comp, share

@@ -183,6 +183,17 @@ def test_embedding_blocks_of_large_components(spark, monkeypatch):
     assert rows(got) == sorted(brute.embeddings(data), key=repr)
 
 
+def test_embedding_audit_counts_small_groups(spark):
+    """One hot group is found, five pairs are lost."""
+    rng = np.random.default_rng(10)
+    unit = lambda v: (v / np.linalg.norm(v)).tobytes()
+    hot, pairs = rng.standard_normal(16), [rng.standard_normal(16) for _ in range(5)]
+    vec = [unit(hot + rng.standard_normal(16) * 0.01) for _ in range(200)] + [unit(p + rng.standard_normal(16) * 0.01) for p in pairs for _ in "ab"]
+    nodes = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(vec)], "id long, v binary")
+    found = spark.createDataFrame([(i, 0) for i in range(200)], "id long, component long")
+    assert nn_descent._audit(nodes, found, 0.95, nn_descent.AUDIT) < 0.6
+
+
 def test_embedding_empty(spark):
     assert nn_descent.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
