@@ -3,13 +3,16 @@
 Equal vectors collapse to one node with a multiplicity first. A neighbour graph is
 seeded from several orders of random-hyperplane signatures, then refined: around
 every node its neighbours and reverse neighbours meet (neighbours of neighbours),
-and each keeps its best partners. Rounds go on until few lists change; an audit of
-a bounded sample of vectors against all rows measures recall, and adds seeds and
-rounds while it is below ``recall``.
+and each keeps its best partners. Rounds go on until few lists change; an audit
+compares a bounded sample of vectors, one of a component, with all rows and averages
+their recall. Seeds double and rounds go on while it is below ``recall``; if it stays
+below, that is an error.
 
-Edges at the threshold give components. Lists that are saturated with such edges
-are enlarged to their whole component: counts of direct links are exact there, by
-matrix products of a block of members with a stream of all members."""
+Edges at the threshold give components. A list that is full of such edges hides what
+lies beyond, so every node also keeps its best partners outside its component, and
+the components are joined until no such list is full. Counts of direct links are exact
+inside components, by matrix products of a block of members with a stream of all
+members."""
 
 from __future__ import annotations
 
@@ -64,14 +67,15 @@ def _signatures(seed: int, orders: int):
                 for o in range(orders):
                     bits = (m @ rng.standard_normal((m.shape[1], 60))) > 0
                     key = bits @ (1 << np.arange(59, -1, -1, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), width * 1000 + o), pa.int64()), pa.array(key), *rows.columns], names=["o", "key", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), width * 1000 + o), pa.int64()), pa.array(key), *rows.columns], names=["o", "key", "id", "v", "c"])
 
     return run
 
 
 def _neighbours(reach: int, keep: int):
-    """Of rows (o, key, id, v) in order: each row's ``keep`` best partners among the
-    ``reach`` rows after and before it, within a partition and order."""
+    """Of rows (o, key, id, v, c) in order: each row's ``keep`` best partners, and as many
+    of other components c, among the ``reach`` rows after and before it, within a
+    partition and order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -80,24 +84,26 @@ def _neighbours(reach: int, keep: int):
                 continue
             if tail is not None:
                 b = pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
-            o, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            o, ids, comp = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 4))
             tail = b.slice(max(0, len(b) - reach))
             for width in np.unique(o // 1000):
                 at = np.flatnonzero(o // 1000 == width)
-                m, oo, ii = _matrix(b.column(3).take(pa.array(at))), o[at], ids[at]
+                m, oo, ii, cc = _matrix(b.column(3).take(pa.array(at))), o[at], ids[at], comp[at]
                 n = len(at)
-                sim = np.full((2 * reach, n), -2.0)
+                sim, same = np.full((2 * reach, n), -2.0), np.zeros((2 * reach, n), bool)
                 for d in range(1, min(reach, n - 1) + 1):
                     s = np.einsum("ij,ij->i", m[:-d], m[d:])
                     s[oo[:-d] != oo[d:]] = -2.0
                     sim[d - 1, :-d] = s
                     sim[reach + d - 1, d:] = s
-                best = np.argsort(-sim, axis=0)[:keep]
-                step = np.where(best < reach, best + 1, reach - 1 - best)
-                s = np.take_along_axis(sim, best, 0)
-                a = np.broadcast_to(np.arange(n), s.shape)
-                ok = s > -2.0
-                yield _edges(ii[a[ok]], ii[np.clip(a + step, 0, n - 1)[ok]], s[ok])
+                    same[d - 1, :-d] = same[reach + d - 1, d:] = cc[:-d] == cc[d:]
+                for sim in (sim, np.where(same, -2.0, sim)) if same.any() else (sim,):
+                    best = np.argsort(-sim, axis=0)[:keep]
+                    step = np.where(best < reach, best + 1, reach - 1 - best)
+                    s = np.take_along_axis(sim, best, 0)
+                    a = np.broadcast_to(np.arange(n), s.shape)
+                    ok = s > -2.0
+                    yield _edges(ii[a[ok]], ii[np.clip(a + step, 0, n - 1)[ok]], s[ok])
 
     return run
 
@@ -108,11 +114,12 @@ def _edges(a, b, s) -> pa.RecordBatch:
 
 
 def _local_join(keep: int):
-    """Around each centre, of rows (centre, id, v): every member's best partners."""
+    """Around each centre, of rows (centre, id, v, c): every member's best partners, and
+    its best of other components c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in whole_groups(batches):
-            ids = whole.column(1).to_numpy(zero_copy_only=False)
+            ids, comp = (whole.column(c).to_numpy(zero_copy_only=False) for c in (1, 3))
             out = []
             for i, j in zip(at[:-1], at[1:]):
                 m = whole.column(2).slice(i, j - i)
@@ -122,28 +129,39 @@ def _local_join(keep: int):
                 s = m @ m.T
                 np.fill_diagonal(s, -2.0)
                 k = min(keep, j - i - 1)
-                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                rows = np.repeat(np.arange(j - i), k)
-                out.append((ids[i:j][rows], ids[i:j][top.ravel()], s[rows, top.ravel()]))
+                same = comp[i:j, None] == comp[None, i:j]
+                for s in (s, np.where(same, -2.0, s)) if same.sum() > j - i else (s,):
+                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    rows = np.repeat(np.arange(j - i), k)
+                    found = s[rows, top.ravel()]
+                    ok = found > -2.0
+                    out.append((ids[i:j][rows[ok]], ids[i:j][top.ravel()[ok]], found[ok]))
             if out:
                 yield _edges(*(np.concatenate(c) for c in zip(*out)))
 
     return run
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best partners of every node. The rank filter is pushed below the
-    exchange as a group limit, so a hub sends at most k rows from each task."""
+def _best(edges: DataFrame, k: int, comp: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best partners of every node, and its ``k`` best outside its component. The
+    rank filter is pushed below the exchange as a group limit, so a hub sends at most
+    2k rows from each task."""
     both = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
-    order = Window.partitionBy("a").orderBy(F.col("s").desc(), "b")
-    return both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("a", "b", "s")
+    if comp is None:
+        both = both.withColumn("out", F.lit(True))
+    else:
+        ca, cb = (comp.select(F.col("id").alias(c), F.col("component").alias("c" + c)) for c in "ab")
+        both = both.join(ca, "a", "left").join(cb, "b", "left").withColumn("out", F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "s", "out")
+    order = Window.partitionBy("a", "out").orderBy(F.col("s").desc(), "b")
+    return both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("a", "b", "s", "out")
 
 
-def _round(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    reverse = _best(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"), k)
-    around = graph.unionByName(reverse).select(F.col("a").alias("centre"), F.col("b").alias("id")).unionByName(nodes.select(F.col("id").alias("centre"), "id")).distinct()
-    rows = around.join(nodes.select("id", "v"), "id").select("centre", "id", "v").repartition("centre").sortWithinPartitions("centre", "id")
-    return _best(graph.unionByName(rows.mapInArrow(_local_join(3), "a long, b long, s double")), k)
+def _round(graph: DataFrame, nodes: DataFrame, k: int, comp: DataFrame | None) -> DataFrame:
+    edges = graph.select("a", "b", "s")
+    reverse = _best(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"), k, comp)
+    around = edges.unionByName(reverse.select("a", "b", "s")).select(F.col("a").alias("centre"), F.col("b").alias("id")).unionByName(nodes.select(F.col("id").alias("centre"), "id")).distinct()
+    rows = around.join(nodes, "id").select("centre", "id", "v", "c").repartition("centre").sortWithinPartitions("centre", "id")
+    return _best(edges.unionByName(rows.mapInArrow(_local_join(3), "a long, b long, s double")), k, comp)
 
 
 def _audit(nodes: DataFrame, links: DataFrame, cosine: float, size: int, seed: int = 0) -> float:
@@ -211,22 +229,29 @@ def _counts(cosine: float):
 
 
 def link_graph(nodes: DataFrame, cosine: float = COSINE, k: int = NEIGHBOURS, orders: int = ORDERS, recall: float = 0.999, most_rounds: int = 4, seed: int = 11) -> tuple[DataFrame, float]:
-    """((id, component) of nodes with a link, audited recall) of nodes (id, v)."""
-    graph, comp, share = None, None, 0.0
-    for attempt in range(most_rounds):
-        rows = nodes.select("id", "v").mapInArrow(_signatures(seed + attempt, orders), "o long, key long, id long, v binary")
+    """((id, component) of nodes with a link, audited recall) of nodes (id, v). An audit
+    below ``recall`` after all attempts, or lists still full of links, is an error."""
+    graph, comp, links, share, attempt, full = None, None, None, 0.0, 0, False
+    while attempt < most_rounds:
+        known = nodes.select("id", "v") if comp is None else nodes.select("id", "v").join(comp, "id", "left")
+        known = cut(known.select("id", "v", (F.col("id") if comp is None else F.coalesce("component", "id")).alias("c")))
+        rows = known.mapInArrow(_signatures(seed + attempt, orders << attempt), "o long, key long, id long, v binary, c long")
         rows = rows.repartitionByRange("o", "key", "id").sortWithinPartitions("o", "key", "id")
         seeds = rows.mapInArrow(_neighbours(REACH, 4), "a long, b long, s double")
-        graph = cut(_best(seeds if graph is None else seeds.unionByName(graph), k))
+        graph = cut(_best(seeds if graph is None else seeds.unionByName(graph.select("a", "b", "s")), k, comp))
         for _ in range(ROUNDS):
-            last, graph = graph, cut(_round(graph, nodes, k))
+            last, graph = graph, cut(_round(graph, known, k, comp))
             if graph.join(last, ["a", "b"], "left_anti").count() <= CHANGED * graph.count():
                 break
-        comp = components(graph.where(F.col("s") >= cosine))
+        new = graph.where(F.col("s") >= cosine).select("a", "b")
+        full = bool(graph.where("out").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least")).where((F.col("n") >= k) & (F.col("least") >= cosine)).limit(1).count())
+        links = new if comp is None else new.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        comp = components(links)
         share = _audit(nodes, comp, cosine, AUDIT, seed + attempt)
-        if share >= recall:
-            break
-    return comp, share
+        attempt += 1
+        if share >= recall and not full:
+            return comp, share
+    raise RuntimeError(f"link_graph: audited recall {share:.5f} of {recall} after {attempt} attempts; full neighbour lists: {full}")
 
 
 def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:

@@ -183,6 +183,18 @@ def test_embedding_blocks_of_large_components(spark, monkeypatch):
     assert rows(got) == sorted(brute.embeddings(data), key=repr)
 
 
+def test_embedding_groups_with_full_lists_are_joined(spark):
+    """Two tight groups: every list fills up inside, links across are below those."""
+    rng = np.random.default_rng(9)
+    a, b, *_ = np.linalg.qr(rng.standard_normal((16, 16)))[0]
+    turned = 0.968 * a + np.sqrt(1 - 0.968**2) * b
+    noise = lambda c: c + rng.standard_normal(16) * 0.018
+    data = [(i, noise(a if i % 2 else turned).tolist()) for i in range(120)]
+    want = sorted(brute.embeddings(data), key=repr)
+    assert {r[2] for r in want} == {0} and min(r[1] for r in want) > 60
+    assert rows(nn_descent.embedding_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>"))) == want
+
+
 def test_embedding_audit_counts_small_groups(spark):
     """One hot group is found, five pairs are lost."""
     rng = np.random.default_rng(10)
