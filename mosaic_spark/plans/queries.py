@@ -294,13 +294,13 @@ def fsfhap_biparental(spark, d):
 
 @query
 def pedigree_states(spark, d):
-    return callers.call_states(obs(spark, d), "pedigree", design=DESIGN, pedigree=_pedigree(spark, d), ped_maxiter=5, rrate=1e-8)
+    return callers.call_states(obs(spark, d), "pedigree", design=DESIGN, pedigree=_pedigree(spark, d), rrate=1e-8)
 
 
 @query
 def refined_ancestry(spark, d):
     states = callers.call_states(obs(spark, d), "bbnil", design=DESIGN)
-    return callers.refine_ancestry(states, _pedigree(spark, d), DESIGN, rrate=1e-8, maxiter=5)
+    return callers.refine_ancestry(states, _pedigree(spark, d), DESIGN, rrate=1e-8)
 
 
 @query

@@ -204,3 +204,15 @@ def test_contracts(spark, data):
     empty = data.limit(0)
     for caller in ("bbnil", "googa", "lbimpute", "binhmm"):
         assert callers.call_states(empty, caller, design="BC2S3").count() == 0
+
+
+def test_pedigree_queries_keep_the_default_sweeps(monkeypatch):
+    from mosaic_spark.plans import queries as q
+
+    seen = []
+    for name in ("obs", "_pedigree"):
+        monkeypatch.setattr(q, name, lambda *a: None)
+    for name in ("call_states", "refine_ancestry"):
+        monkeypatch.setattr(q.callers, name, lambda *a, **k: seen.append(k))
+    q.pedigree_states(None, ""), q.refined_ancestry(None, "")
+    assert len(seen) == 3 and not any({"ped_maxiter", "maxiter"} & set(k) for k in seen)
