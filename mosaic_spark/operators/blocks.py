@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELLS = 1_000_000
+#: Columns of base pairs: 64 bits inside kernels, whatever the input has.
+POSITIONS = ("pos", "start_bp", "end_bp")
 
 
 def unit_bounds(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -64,7 +66,8 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 def by_unit(df: DataFrame, keys: list[str], order: list[str], columns: list[str], kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, partitions: int | None = None) -> DataFrame:
     """Runs ``kernel`` over batches of whole units, sorted by keys and ``order``."""
-    rows = df.select(*dict.fromkeys([*keys, *order, *columns])).withColumn("__unit", F.xxhash64(*keys))
+    wide = lambda c: F.col(c).cast("long").alias(c) if c in POSITIONS else F.col(c)
+    rows = df.select(*[wide(c) for c in dict.fromkeys([*keys, *order, *columns])]).withColumn("__unit", F.xxhash64(*keys))
     rows = rows.repartition(partitions, "__unit") if partitions else rows.repartition("__unit")
     rows = rows.sortWithinPartitions("__unit", *keys, *order)
 

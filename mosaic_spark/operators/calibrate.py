@@ -40,7 +40,7 @@ def segment_blocks(segments: DataFrame, by: str) -> DataFrame:
     one block; its edges lie midway to the neighbouring segment's marker."""
     chain = Window.partitionBy(by, "name", "chr").orderBy("start_bp")
     donor = (F.col("state") > 0).cast("int")
-    rows = segments.withColumn("d", donor).withColumns({"lo": (F.coalesce(F.lag("end_bp").over(chain), F.col("start_bp")) + F.col("start_bp")) / 2, "hi": (F.coalesce(F.lead("start_bp").over(chain), F.col("end_bp")) + F.col("end_bp")) / 2})
+    rows = segments.withColumns({"d": donor, "start_bp": F.col("start_bp").cast("long"), "end_bp": F.col("end_bp").cast("long")}).withColumns({"lo": (F.coalesce(F.lag("end_bp").over(chain), F.col("start_bp")) + F.col("start_bp")) / 2, "hi": (F.coalesce(F.lead("start_bp").over(chain), F.col("end_bp")) + F.col("end_bp")) / 2})
     rows = rows.withColumn("new", F.coalesce((F.col("d") != F.lag("d").over(chain)).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("new").over(chain.rowsBetween(Window.unboundedPreceding, 0))).where("d = 1")
     return rows.groupBy(by, "name", "chr", "run").agg(((F.max("hi") - F.min("lo")) / 1e6).alias("mb")).select(by, "mb")

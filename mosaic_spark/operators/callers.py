@@ -25,8 +25,8 @@ from .segments import bin_counts, to_segments
 
 CHAIN = ["name", "chr"]
 KEEP = ["donor", "name", "chr", "pos"]
-STATE_SCHEMA = "donor string, name string, chr int, pos int, state int"
-SEGMENT_SCHEMA = "source string, donor string, name string, chr int, start_bp int, end_bp int, state int"
+STATE_SCHEMA = "donor string, name string, chr int, pos long, state int"
+SEGMENT_SCHEMA = "source string, donor string, name string, chr int, start_bp long, end_bp long, state int"
 CALLERS = ("nnil", "bbnil", "catiger", "rtiger", "googa", "atlas", "binhmm", "lbimpute", "fsfhap", "pedigree")
 
 
@@ -339,7 +339,7 @@ def _binned(data: DataFrame, bin_size: int, donor) -> DataFrame:
     if "alt_freq" in data.columns:
         require(data, ("name", "chr", "pos", "start_bp", "end_bp"), "binhmm: bins made before")
         ninf = F.col("ninf") if "ninf" in data.columns else F.lit(1)
-        out = with_donor(data, donor).select("donor", "name", "chr", F.col("pos").cast("int").alias("pos"), F.col("start_bp").cast("int").alias("start_bp"), F.col("end_bp").cast("int").alias("end_bp"), F.col("alt_freq").cast("double").alias("alt_freq"), ninf.cast("long").alias("ninf"))
+        out = with_donor(data, donor).select("donor", "name", "chr", F.col("pos").cast("long").alias("pos"), F.col("start_bp").cast("long").alias("start_bp"), F.col("end_bp").cast("long").alias("end_bp"), F.col("alt_freq").cast("double").alias("alt_freq"), ninf.cast("long").alias("ninf"))
     else:
         require(data, ("name", "chr", "pos", "n_ref", "n_alt"), "binhmm")
         out = bin_counts(with_donor(data, donor), bin_size).select("donor", "name", "chr", F.col("bin").alias("pos"), "start_bp", "end_bp", "alt_freq", "ninf")
@@ -359,7 +359,7 @@ def _bin_states(data: DataFrame, bin_size, method, priors, donor, joint, weighte
         warnings.warn("binhmm: obs_weights applies only to joint_clust; ignored", stacklevel=3)
     rows, start = _binned(data, bin_size, donor), np.array([1 - sum(priors), *priors])
     cols = ["donor", "name", "chr", "pos", "start_bp", "end_bp"]
-    schema = "donor string, name string, chr int, pos int, start_bp int, end_bp int, state int"
+    schema = "donor string, name string, chr int, pos long, start_bp long, end_bp long, state int"
     pooled = joint and method != "gauss"
     value = ["alt_freq", "ninf"]
     if pooled:
@@ -425,7 +425,7 @@ def _family_states(data: DataFrame, p_het: float, route: str, min_gametes: int =
             donors = dict(zip(column(unit, "name").astype(str)[::-1], unit.column(unit.schema.get_field_index("donor")).to_pylist()[::-1]))
             labels = names[taxa[t]]
             out.append(pa.RecordBatch.from_arrays(
-                [pa.array([donors[x] for x in labels], pa.string()), pa.array(labels, pa.string()), pa.array(np.full(len(t), column(unit, "chr")[0]), pa.int32()), pa.array(sites[kept[s]], pa.int32()), pa.array(state[t, s], pa.int32())],
+                [pa.array([donors[x] for x in labels], pa.string()), pa.array(labels, pa.string()), pa.array(np.full(len(t), column(unit, "chr")[0]), pa.int32()), pa.array(sites[kept[s]], pa.int64()), pa.array(state[t, s], pa.int32())],
                 names=["donor", "name", "chr", "pos", "state"],
             ))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None

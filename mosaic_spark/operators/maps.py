@@ -78,6 +78,6 @@ def build_marker_grid(table: DataFrame, n_markers: int = 2000) -> DataFrame:
     total = span.agg(F.sum(F.col("hi") - F.col("lo"))).first()[0]
     span = span.withColumn("n", F.greatest(F.lit(2), F.rint(n_markers * (F.col("hi") - F.col("lo")) / total).cast("int")))
     rows = span.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pos = F.rint(F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (F.col("n") - 1)).cast("int")
+    pos = F.rint(F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (F.col("n") - 1)).cast("long")
     rows = rows.select("chr", pos.alias("pos"))
     return rows.withColumn("cm", bp_to_cm(table).column(F.col("chr"), F.col("pos")))

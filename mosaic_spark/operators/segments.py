@@ -29,7 +29,7 @@ def to_segments(states: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
     end = F.max_by("end_bp", "pos") if interval else F.max("pos")
     out = rows.groupBy("name", "chr", "__run").agg(
         F.min_by("source", "pos").alias("source"), F.min_by("donor", "pos").alias("donor"),
-        start.cast("int").alias("start_bp"), end.cast("int").alias("end_bp"), F.min("state").cast("int").alias("state"),
+        start.cast("long").alias("start_bp"), end.cast("long").alias("end_bp"), F.min("state").cast("int").alias("state"),
     )
     return out.select("source", "donor", "name", "chr", "start_bp", "end_bp", "state")
 
@@ -59,7 +59,7 @@ def donor_blocks(states: DataFrame) -> DataFrame:
     require(states, ("name", "chr", "pos", "state"), "donor_blocks")
     chain = Window.partitionBy("name", "chr").orderBy("pos")
     donor = (F.col("state") > 0).cast("int")
-    rows = states.select("name", "chr", "pos", donor.alias("d"))
+    rows = states.select("name", "chr", F.col("pos").cast("long").alias("pos"), donor.alias("d"))
     rows = rows.withColumns({"lo": (F.coalesce(F.lag("pos").over(chain), F.col("pos")) + F.col("pos")) / 2, "hi": (F.coalesce(F.lead("pos").over(chain), F.col("pos")) + F.col("pos")) / 2, "new": F.coalesce((F.col("d") != F.lag("d").over(chain)).cast("int"), F.lit(1))})
     rows = rows.withColumn("run", F.sum("new").over(chain.rowsBetween(Window.unboundedPreceding, 0))).where("d = 1")
     out = rows.groupBy("name", "chr", "run").agg(F.min("lo").alias("start_bp"), F.max("hi").alias("end_bp"))
@@ -152,7 +152,7 @@ def bin_counts(counts: DataFrame, bin_size: int = 1_000_000) -> DataFrame:
     require(counts, ("name", "chr", "pos", "n_ref", "n_alt"), "bin_counts")
     depth = F.col("n_ref") + F.col("n_alt")
     keep = [F.first("donor", True).alias("donor")] if "donor" in counts.columns else []
-    out = counts.groupBy("name", "chr", F.expr(f"pos div {int(bin_size)}").cast("int").alias("bin")).agg(
+    out = counts.groupBy("name", "chr", F.expr(f"CAST(pos AS BIGINT) div {int(bin_size)}").alias("bin")).agg(
         F.min("pos").alias("start_bp"), F.max("pos").alias("end_bp"), F.sum("n_alt").alias("alt"), F.sum(depth).alias("tot"), F.count_if(depth > 0).alias("ninf"), *keep,
     )
     return out.withColumn("alt_freq", F.when(F.col("tot") > 0, F.col("alt") / F.col("tot")).otherwise(F.lit(0.0)))

@@ -54,9 +54,9 @@ def simulate_nil(spark: SparkSession, design: str = "BC2S2", n: int = 1, table:
                 state = (meiosis.alleles_at(a, cm) == 2).astype(np.int32) + (meiosis.alleles_at(f, cm) == 2)
                 name = names[i] if names is not None else f"sim{i + 1:04d}"
                 k = len(pos)
-                yield pa.RecordBatch.from_arrays([pa.array(["sim"] * k), pa.array([donor] * k), pa.array([name] * k), pa.array(np.full(k, c), pa.int32()), pa.array(pos, pa.int32()), pa.array(cm), pa.array(state, pa.int32())], names=["source", "donor", "name", "chr", "pos", "cm", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array(["sim"] * k), pa.array([donor] * k), pa.array([name] * k), pa.array(np.full(k, c), pa.int32()), pa.array(pos, pa.int64()), pa.array(cm), pa.array(state, pa.int32())], names=["source", "donor", "name", "chr", "pos", "cm", "state"])
 
-    return units.mapInArrow(run, "source string, donor string, name string, chr int, pos int, cm double, state int")
+    return units.mapInArrow(run, "source string, donor string, name string, chr int, pos long, cm double, state int")
 
 
 def simulate_family(spark: SparkSession, design: str = "BC2S3", families: int = 10, sibs: int = 10, table: DataFrame | None = None, n_markers: int = 1000, chr=None, m: int = 10, p: float = 0.0, seed: int = 1, donor: str = "B", prefix: str = "fam") -> tuple[DataFrame, DataFrame]:
@@ -84,9 +84,9 @@ def simulate_family(spark: SparkSession, design: str = "BC2S3", families: int =
                     haps = [meiosis.gamete(*parent, rng, m, p) for _ in range(2)]
                     state = sum((meiosis.alleles_at(h, cm) == 2).astype(np.int32) for h in haps)
                     k = len(pos)
-                    yield pa.RecordBatch.from_arrays([pa.array(["sim"] * k), pa.array([donor] * k), pa.array([f"{fam}_L{s:02d}"] * k), pa.array([fam] * k), pa.array(np.full(k, c), pa.int32()), pa.array(pos, pa.int32()), pa.array(cm), pa.array(state, pa.int32())], names=["source", "donor", "name", "family", "chr", "pos", "cm", "state"])
+                    yield pa.RecordBatch.from_arrays([pa.array(["sim"] * k), pa.array([donor] * k), pa.array([f"{fam}_L{s:02d}"] * k), pa.array([fam] * k), pa.array(np.full(k, c), pa.int32()), pa.array(pos, pa.int64()), pa.array(cm), pa.array(state, pa.int32())], names=["source", "donor", "name", "family", "chr", "pos", "cm", "state"])
 
-    truth = spark.range(families * len(chroms)).mapInArrow(run, "source string, donor string, name string, family string, chr int, pos int, cm double, state int")
+    truth = spark.range(families * len(chroms)).mapInArrow(run, "source string, donor string, name string, family string, chr int, pos long, cm double, state int")
     rows = []
     for f in range(1, families + 1):
         fam = f"{prefix}{f:02d}"
@@ -144,7 +144,7 @@ def simulate_counts(truth: DataFrame, depth: float = 1.0, error: float = 0.01, p
             alt = binomial(u3, d, share)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(d - alt, pa.int32()), pa.array(alt, pa.int32()), pa.array(np.where(d > 0, state, 3), pa.int32())], names=["name", "donor", "chr", "pos", "n_ref", "n_alt", "g"])
 
-    return rows.mapInArrow(run, "name string, donor string, chr int, pos int, n_ref int, n_alt int, g int")
+    return rows.mapInArrow(run, "name string, donor string, chr int, pos long, n_ref int, n_alt int, g int")
 
 
 def simulate_backcross_panel(spark: SparkSession, lines: int = 100, markers: int = 5000, chromosomes: int = 10, donor_frac: float = 0.25, phet: float = 0.03, miss: float = 0.15, width: float = 0.12, family: str = "SIM", seed: int = 1) -> DataFrame:
@@ -167,6 +167,6 @@ def simulate_backcross_panel(spark: SparkSession, lines: int = 100, markers: int
                 state[edge] = 1
                 state[(state == 0) & (rng.random(markers) < phet)] = 1
                 g = np.where(rng.random(markers) < miss, 3, state)
-                yield pa.RecordBatch.from_arrays([pa.array([f"L{i + 1:04d}"] * markers), pa.array([family] * markers), pa.array(np.full(markers, c), pa.int32()), pa.array(pos, pa.int32()), pa.array(g, pa.int32()), pa.array(state)], names=["name", "family", "chr", "pos", "g", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"L{i + 1:04d}"] * markers), pa.array([family] * markers), pa.array(np.full(markers, c), pa.int32()), pa.array(pos, pa.int64()), pa.array(g, pa.int32()), pa.array(state)], names=["name", "family", "chr", "pos", "g", "state"])
 
-    return spark.range(lines * chromosomes).mapInArrow(run, "name string, family string, chr int, pos int, g int, state int")
+    return spark.range(lines * chromosomes).mapInArrow(run, "name string, family string, chr int, pos long, g int, state int")

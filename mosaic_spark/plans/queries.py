@@ -224,7 +224,7 @@ _found |= {f"interp_{m}": _interp(m) for m in interpolate.MODES}
 
 @query
 def vcf_impute(spark, d):
-    markers = spark.read.parquet(f"{d}/part.parquet").selectExpr("CAST((p_partkey + 1) * 10000 AS INT) AS pos", "p_brand AS ref", "p_type AS alt")
+    markers = spark.read.parquet(f"{d}/part.parquet").selectExpr("(p_partkey + 1) * 10000 AS pos", "p_brand AS ref", "p_type AS alt")
     markers = markers.join(spark.range(1, 8).selectExpr("CAST(id AS INT) AS chr"))
     states = calls(spark, d).where("g <> 3").withColumnRenamed("g", "state")
     return writers.vcf_lines(states, markers)[1]

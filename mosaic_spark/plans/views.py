@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 BLOCK, SPACING = 200, 10_000
 
-#: {div} is the engine's integer division.
+#: {div} is the engine's integer division, {pos} its type of positions: 64 bits in Spark,
+#: as markers times spacing outgrow 32 bits.
 OBS = f"""
-SELECT concat('S', CAST(s AS STRING)) AS name, chr, CAST((p + 1) * {SPACING} AS INT) AS pos,
+SELECT concat('S', CAST(s AS STRING)) AS name, chr, CAST((p + 1) * {SPACING} AS {{pos}}) AS pos,
   CAST(n - a AS INT) AS n_ref, CAST(a AS INT) AS n_alt
 FROM (
   SELECT s, chr, p, n, CASE WHEN k < 7 THEN least(e, n) WHEN k = 7 THEN n {{div}} 2 ELSE n - least(e, n) END AS a
@@ -43,7 +44,7 @@ FROM (SELECT CAST(l_linenumber AS INT) AS chr, l_partkey {div} 100 AS bin, l_lin
 
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return spark.sql(text.format(lineitem="{lineitem}", div="DIV"), lineitem=lineitem)
+    return spark.sql(text.format(lineitem="{lineitem}", div="DIV", pos="BIGINT"), lineitem=lineitem)
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def bin_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duck(text: str, **names: str) -> str:
-    return text.format(div="//", **{"lineitem": "lineitem", **names})
+    return text.format(div="//", pos="INT", **{"lineitem": "lineitem", **names})
 
 
 OBS_SQL = duck(OBS)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Table name -> required columns with their Spark types.
-COUNTS = {"name": "string", "chr": "int", "pos": "int", "n_ref": "int", "n_alt": "int"}
-GENOTYPES = {"name": "string", "chr": "int", "pos": "int", "g": "int"}
-STATES = {"source": "string", "donor": "string", "name": "string", "chr": "int", "pos": "int", "state": "int"}
-SEGMENTS = {"source": "string", "donor": "string", "name": "string", "chr": "int", "start_bp": "int", "end_bp": "int", "state": "int"}
+COUNTS = {"name": "string", "chr": "int", "pos": "long", "n_ref": "int", "n_alt": "int"}
+GENOTYPES = {"name": "string", "chr": "int", "pos": "long", "g": "int"}
+STATES = {"source": "string", "donor": "string", "name": "string", "chr": "int", "pos": "long", "state": "int"}
+SEGMENTS = {"source": "string", "donor": "string", "name": "string", "chr": "int", "start_bp": "long", "end_bp": "long", "state": "int"}
 PEDIGREE = {"taxon": "string", "family": "string", "parent1": "string", "parent2": "string", "contribution1": "double", "contribution2": "double", "F": "double"}
 MAP = {"locus": "string", "chr": "int", "cm": "double", "bp": "double"}
 

@@ -38,7 +38,7 @@ def read_counts(spark: SparkSession, path: str, format: str = "tsv", name: str |
         raise NotImplementedError("read_counts: format 'gatk_table' is not yet implemented; use 'tsv' or 'vcf_ad'")
     if format != "tsv":
         raise ValueError("read_counts: format must be tsv, vcf_ad or gatk_table")
-    schema = "chr string, pos int, ref string, n_ref int, alt string, n_alt int"
+    schema = "chr string, pos long, ref string, n_ref int, alt string, n_alt int"
     rows = spark.read.schema(schema).option("sep", "\t").option("pathGlobFilter", "*.tsv*").csv(path)
     sample = F.lit(name) if name is not None else F.regexp_replace(_base_name(F.col("_metadata.file_path")), r"\..*$", "")
     return rows.select(sample.alias("name"), chromosome(F.col("chr")).alias("chr"), "pos", "n_ref", "n_alt")
@@ -63,7 +63,7 @@ def _vcf_cells(spark: SparkSession, path: str, samples: list[str], keep: list[st
     chosen = [i for i, s in enumerate(samples) if keep is None or s in keep]
     cells = F.array(*[F.struct(F.lit(samples[i]).alias("name"), F.get("f", F.lit(9 + i)).alias("cell")) for i in chosen])
     at = lambda k: F.get("f", F.lit(k))
-    rows = lines.select(chromosome(at(0)).alias("chr"), at(1).try_cast("int").alias("pos"), at(3).alias("ref"), at(4).alias("alt"), at(5).try_cast("double").alias("qual"), at(8).alias("format"), F.explode(cells).alias("s"))
+    rows = lines.select(chromosome(at(0)).alias("chr"), at(1).try_cast("long").alias("pos"), at(3).alias("ref"), at(4).alias("alt"), at(5).try_cast("double").alias("qual"), at(8).alias("format"), F.explode(cells).alias("s"))
     return rows.select("s.name", "chr", "pos", "ref", "alt", "qual", "format", "s.cell")
 
 
@@ -136,7 +136,7 @@ def read_hapmap(spark: SparkSession, path: str, samples: list[str] | None = None
         raise FormatError("read_hapmap: none of `samples` present")
     quoted = lambda c: F.col(f"`{c}`")
     cells = F.array(*[F.struct(F.lit(t).alias("name"), quoted(t).alias("call")) for t in keep])
-    rows = table.select(chromosome(F.col("chrom")).alias("chr"), F.col("pos").try_cast("int").alias("pos"), F.substring("alleles", 1, 1).alias("a"), F.substring("alleles", 3, 1).alias("b"), F.explode(cells).alias("s"))
+    rows = table.select(chromosome(F.col("chrom")).alias("chr"), F.col("pos").try_cast("long").alias("pos"), F.substring("alleles", 1, 1).alias("a"), F.substring("alleles", 3, 1).alias("b"), F.explode(cells).alias("s"))
     a, b, call = F.col("a"), F.col("b"), F.col("s.call")
     code = F.element_at(F.create_map(*[F.lit(x) for kv in IUPAC.items() for x in kv]), F.concat(F.least(a, b), F.greatest(a, b)))
     one = F.when(call == a, 0).when(call == b, 2).when(call == code, 1).otherwise(3)
@@ -152,7 +152,7 @@ def read_plink(spark: SparkSession, prefix: str) -> DataFrame:
     prefix = prefix.removesuffix(".bed")
     words = lambda path: spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w"), F.col("_metadata.file_path").alias("p")).where(F.size("w") > 1)
     # .bim and .fam have a line per variant and sample; both index the packed bits
-    bim = [(r.c, r.p) for r in words(f"{prefix}.bim").select(chromosome(F.get("w", F.lit(0))).alias("c"), F.get("w", F.lit(3)).try_cast("int").alias("p")).collect()]
+    bim = [(r.c, r.p) for r in words(f"{prefix}.bim").select(chromosome(F.get("w", F.lit(0))).alias("c"), F.get("w", F.lit(3)).try_cast("long").alias("p")).collect()]
     fam = [r.n for r in words(f"{prefix}.fam").select(F.get("w", F.lit(1)).alias("n")).collect()]
     width = -(-len(fam) // 4)
     size = spark.read.format("binaryFile").load(f"{prefix}.bed").select("length").first().length
@@ -176,11 +176,11 @@ def read_plink(spark: SparkSession, prefix: str) -> DataFrame:
                     g = dosage[codes.reshape(len(part), -1)[:, : len(fam)]]
                     where = bim[i : i + block]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(fam * len(part)), pa.array(np.repeat([c for c, _ in where], len(fam)), pa.int32()), pa.array(np.repeat([p for _, p in where], len(fam)), pa.int32()), pa.array(g.ravel())],
+                        [pa.array(fam * len(part)), pa.array(np.repeat([c for c, _ in where], len(fam)), pa.int32()), pa.array(np.repeat([p for _, p in where], len(fam)), pa.int64()), pa.array(g.ravel())],
                         names=["name", "chr", "pos", "g"],
                     )
 
-    return spark.read.format("binaryFile").load(f"{prefix}.bed").select("content").mapInArrow(run, "name string, chr int, pos int, g int")
+    return spark.read.format("binaryFile").load(f"{prefix}.bed").select("content").mapInArrow(run, "name string, chr int, pos long, g int")
 
 
 def read_pedigree(spark: SparkSession, path: str, format: str = "fsfhap") -> DataFrame:

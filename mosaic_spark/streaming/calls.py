@@ -17,7 +17,7 @@ from ..schema import chromosome
 
 def stream_counts(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """A stream over a folder of count TSVs; the sample is the file name."""
-    schema = "chr string, pos int, ref string, n_ref int, alt string, n_alt int"
+    schema = "chr string, pos long, ref string, n_ref int, alt string, n_alt int"
     rows = spark.readStream.schema(schema).option("sep", "\t").option("maxFilesPerTrigger", files_per_batch).csv(path)
     name = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1), r"\..*$", "")
     return rows.select(name.alias("name"), chromosome(F.col("chr")).alias("chr"), "pos", "n_ref", "n_alt")
