@@ -2,6 +2,7 @@
 
 Text splits at single spaces and white-space runs exactly where the vocabulary's
 own pre-tokenizer must split, so a chunk's ids do not depend on its neighbours.
+Before that, a text splits at the vocabulary's added token, wherever it is written.
 Ids of a chunk are remembered; chunks that a batch meets for the first time are
 encoded in one call."""
 
@@ -17,6 +18,8 @@ VOCABULARY = "byte_bpe_50k"
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _BLANK = re.compile(rf"[{_SPACE}]")
+#: The token that the vocabulary takes out of a text before all else.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 #: Remembered chunks and characters looked at in one go; both bound a worker's memory.
 REMEMBER, AT_ONCE = 400_000, 4_000_000
 
@@ -87,6 +90,17 @@ class Encoder:
         return self._ids[take], bounds
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not any(ADDED in t for t in texts):
+            return self._encode(texts)
+        pieces = [t.split(ADDED) for t in texts]
+        ids, bounds = self._encode([p for some in pieces for p in some])
+        last = np.cumsum([len(some) for some in pieces]) - 1
+        inner = np.ones(len(bounds) - 1, bool)
+        inner[last] = False
+        whole = np.insert(ids, bounds[1:][inner], np.uint16(ADDED_ID))
+        return whole, np.concatenate([[0], (bounds[1:] + np.cumsum(inner))[last]])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, bounds, now, size = [], [np.zeros(1, np.int64)], [], 0
         done = 0
 
