@@ -6,37 +6,45 @@ compared (they are grouping keys), so a hash collision cannot merge two texts.
 Aggregation runs map-side first, so a text that a third of all rows repeat
 arrives at its owner as one row per map task.
 
-Directory: the index starts at the global depth that the entry count asks for;
-while a bucket holds more entries than ``bucket_entries`` the directory doubles
-and that bucket alone splits on its next key bit. It works on counts of a cell
-grid of at most 2**MAX_DEPTH rows. The finished index is a table on the shared
-folder, range-partitioned by key, so that each owner task holds whole buckets.
-
-Probe: rows look their chain entry up by pseudo-key and digest.
+Directory: the index starts as one bucket; while a bucket holds more entries than
+``bucket_entries`` the directory doubles and that bucket alone splits on its next
+key bit. It works on counts of a cell grid of at most 2**MAX_DEPTH rows. The index is
+a table of files on the shared folder, dealt by bucket and sorted by key, so that a
+bucket's key range has one owner.
+
+Probe: the directory sends rows to their bucket; inside, they find their chain
+entry by key and digest. Rows are narrow there, and a hot text's rows are dealt
+anew by the skew join of the adaptive planner.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, shared_dir
 
 #: Directory cells never exceed 2**MAX_DEPTH, the proven bound of what the driver reads.
 MAX_DEPTH = 16
+#: Entries that a bucket holds before it splits.
+BUCKET_ENTRIES = 50_000
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    whole = F.coalesce(F.col(text), F.lit(""))
+    """``docs`` with __id, __cp, __raw (hash of the original text), __norm and __key."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     norm = F.regexp_replace(whole, SPACE + "+", "")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.char_length(whole).alias("cp"), norm.alias("norm")).withColumn("key", F.xxhash64("norm"))
+    rows = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__cp": F.char_length(whole), "__raw": F.xxhash64(whole), "__norm": norm})
+    return rows.withColumn("__key", F.xxhash64("__norm"))
 
 
 def cell(depth: int = MAX_DEPTH):
-    return F.shiftrightunsigned("key", 64 - depth)
+    return F.shiftrightunsigned("__key", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def double_directory(cells: list[tuple[int, int]], bucket_entries: int, depth: int) -> list[tuple[int, int]]:
+def double_directory(cells: list[tuple[int, int]], bucket_entries: int, depth: int = 0) -> list[tuple[int, int]]:
     """Directory as (first cell, local depth) of every bucket, by splitting.
 
     ``cells``: (cell at MAX_DEPTH bits, entries). A bucket is a run of cells with
@@ -59,56 +67,81 @@ def double_directory(cells: list[tuple[int, int]], bucket_entries: int, depth: i
     return sorted(done)
 
 
-def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_entries: int = 1_000_000) -> DataFrame:
-    """(bucket, key, text_sha256, keep_id, group_size), one row per distinct
-    normalised text, on the shared folder, ordered by key inside owner ranges."""
+class Index:
+    """The directory (slot -> bucket) and the folder of the entries."""
+
+    def __init__(self, entries: DataFrame, directory: list[tuple[int, int]], path: str) -> None:
+        spark = entries.sparkSession
+        self.depth, self.path = max(local for _, local in directory), path
+        # of at most 2**MAX_DEPTH rows; slots of the deepest buckets are single
+        slots = [0] * (1 << self.depth)
+        for bucket, (first, local) in enumerate(directory):
+            at, width = first >> (MAX_DEPTH - self.depth), 1 << (self.depth - local)
+            slots[at : at + width] = [bucket] * width
+        self._slots = spark.createDataFrame(list(enumerate(slots)), "__slot long, __bucket long")
+        owned = self.bucketed(entries).repartition("__bucket").sortWithinPartitions("__bucket", "__key")
+        owned.write.parquet(path)
+        self.entries = spark.read.parquet(path)
+
+    def bucketed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the bucket that the directory has for their key."""
+        return rows.withColumn("__slot", cell(self.depth)).join(F.broadcast(self._slots), "__slot").drop("__slot")
+
+
+def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_entries: int = BUCKET_ENTRIES) -> Index:
+    """Entries (__bucket, __key, __sha, __keep, __keep_cp, __keep_raw, __n), one of every
+    distinct normalised text: the row that stays, by id, code points and hash of its
+    original text, and the group's size."""
     # a decimal of fixed width keeps the aggregate in hash mode: longest first, then smallest id
     span = F.lit(str(2**64)).cast("decimal(20,0)")
-    rank = (F.col("cp").cast("decimal(18,0)") * span).cast("decimal(38,0)") - F.coalesce("doc_id", F.lit(2**63 - 1)).cast("decimal(20,0)")
-    rank = rank.cast("decimal(38,0)")
-    chains = (
-        _keyed(docs, text, doc_id)
-        .groupBy("key", "norm")
-        .agg(F.max_by("doc_id", rank).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    entries = cut(chains)
-    counts = entries.groupBy(cell().alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r.n for r in counts)
-    depth = min(MAX_DEPTH, max(0, (max(total, 1) // bucket_entries).bit_length()))
-    directory = double_directory([(r.cell, r.n) for r in counts], bucket_entries, depth)
-    # the directory is a constant of at most 2**MAX_DEPTH ints: each cell's slot, looked up by the key's leading bits
-    deepest = max(local for _, local in directory)
-    slots = [0] * (1 << deepest)
-    for at, (first, local) in enumerate(directory):
-        width = 1 << (deepest - local)
-        slots[first >> (MAX_DEPTH - deepest) : (first >> (MAX_DEPTH - deepest)) + width] = [at] * width
-    if deepest:
-        table = entries.sparkSession.createDataFrame([(c, b) for c, b in enumerate(slots)], "cell int, bucket long")
-        entries = entries.withColumn("cell", cell(deepest).cast("int")).join(F.broadcast(table), "cell").drop("cell")
-    else:
-        entries = entries.withColumn("bucket", F.lit(0).cast("long"))
-    return entries.repartitionByRange("key").sortWithinPartitions("key")
-
-
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_entries: int = 1_000_000) -> DataFrame:
+    rank = (F.col("__cp").cast("decimal(18,0)") * span).cast("decimal(38,0)") - F.coalesce("__id", F.lit(2**63 - 1)).cast("decimal(20,0)")
+    rows = _keyed(docs, text, doc_id).select("__id", "__cp", "__raw", "__norm", "__key", rank.cast("decimal(38,0)").alias("__rank"))
+    top = [F.max_by(f"__{c}", "__rank").alias(f"__keep{n}") for c, n in (("id", ""), ("cp", "_cp"), ("raw", "_raw"))]
+    chains = rows.groupBy("__key", "__norm").agg(*top, F.count(F.lit(1)).alias("__n"))
+    base, spark = f"{shared_dir(docs.sparkSession)}/exact-index-{uuid.uuid4().hex}", docs.sparkSession
+    chains.select("__key", F.sha2(F.col("__norm").cast("binary"), 256).alias("__sha"), "__keep", "__keep_cp", "__keep_raw", "__n").write.parquet(f"{base}/chains")
+    entries = spark.read.parquet(f"{base}/chains")
+    cells = entries.groupBy(cell().alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return Index(entries, double_directory([(r.cell, r.n) for r in cells], bucket_entries), f"{base}/buckets")
+
+
+def _stays(first: str = "__keep"):
+    """Is the row the one that its entry names?"""
+    return F.col("__id").eqNullSafe(F.col(first)) & (F.col("__cp") == F.col("__keep_cp")) & (F.col("__raw") == F.col("__keep_raw"))
+
+
+def _repeats(docs: DataFrame, doc_id: str) -> bool:
+    """Whether any id is there twice; reads the id column alone."""
+    return bool(docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+
+
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256 added.
 
     Texts are equal when identical without the characters ``[\\x20\\x09-\\x0D]``.
-    Of equal texts the row with most code points, then the smallest id, stays.
-    Null text counts as empty and empty texts are equal to each other; a null id
-    ranks last. Rows that repeat both id and text all count in group_size and all
-    carry the mark of their id. Input columns keep their names; a clashing one is
-    replaced. An empty table gives an empty result."""
-    index = build_index(docs, text, doc_id, bucket_entries).select("key", "text_sha256", "keep_id", "group_size")
-    index = index.select(F.col("key").alias("__key"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__n"))
-    norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE + "+", "")
+    Of equal texts the row with most code points, then the smallest id, stays: one row,
+    also where rows repeat an id or are alike in all. Null text counts as empty and
+    empty texts are equal to each other; a null id ranks last. Input columns keep their
+    names; a clashing one is replaced. An empty table gives an empty result."""
+    index = build_index(docs, text, doc_id, bucket_entries)
     rows = docs.drop(*[c for c in ("keep_id", "group_size", "kept", "text_sha256") if c not in (text, doc_id)])
-    rows = rows.withColumn("__norm", norm).withColumn("__key", F.xxhash64("__norm")).withColumn("__sha", F.sha2(F.col("__norm").cast("binary"), 256)).drop("__norm")
-    out = rows.join(index, ["__key", "__sha"])
-    return out.withColumns({"keep_id": F.col("__keep"), "group_size": F.col("__n"), "kept": F.col(doc_id).eqNullSafe(F.col("__keep")), "text_sha256": F.col("__sha")}).drop("__key", "__sha", "__keep", "__n")
+    rows = _keyed(rows, text, doc_id).withColumn("__sha", F.sha2(F.col("__norm").cast("binary"), 256)).drop("__norm")
+    out = index.bucketed(rows).join(index.entries, ["__bucket", "__key", "__sha"]).withColumn("__stays", _stays())
+    if _repeats(docs, doc_id):
+        # rows that are alike in id and text: numbered once, the first of them stays
+        out = cut(out.withColumn("__row", F.monotonically_increasing_id()))
+        first = out.where("__stays").groupBy("__key", "__sha").agg(F.min("__row").alias("__first"))
+        out = out.join(first, ["__key", "__sha"]).withColumn("__stays", F.col("__row") == F.col("__first"))
+    out = out.withColumns({"keep_id": F.col("__keep"), "group_size": F.col("__n"), "kept": F.col("__stays"), "text_sha256": F.col("__sha")})
+    return out.select(*rows.drop("__id", "__cp", "__raw", "__key", "__sha").columns, "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Only the rows that stay, with the columns of ``docs``."""
-    return exact_dedup(docs, text, doc_id).where("kept").select(*docs.columns)
+    """Only the rows that stay, with the columns of ``docs``. Rows meet the index's
+    entries by id and text, so that a hot text's rows spread over its ids."""
+    keep = build_index(docs, text, doc_id).entries.select(F.col("__key").alias("__k"), "__keep", "__keep_cp", "__keep_raw")
+    rows = _keyed(docs, text, doc_id).drop("__norm")
+    rows = rows.join(keep, (F.col("__key") == F.col("__k")) & _stays(), "left_semi")
+    if _repeats(docs, doc_id):
+        rows = rows.dropDuplicates(["__id", "__key", "__raw"])
+    return rows.select(*docs.columns)

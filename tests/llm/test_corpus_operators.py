@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mosaic_spark.llm import exact_dedup, lsh_forest, mixing, nn_descent, packing, suffix_radix, token_counts
 from mosaic_spark.llm.common import components
@@ -25,7 +26,12 @@ def test_exact_dedup_odd_tables(spark):
     assert exact_dedup.exact_dedup(empty).count() == 0
     odd = spark.createDataFrame([(1, "a b", "k"), (1, "a b", "k"), (None, "ab", "n"), (2, None, "z")], "doc_id long, text string, keep_id string")
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(odd).collect()}
-    assert got == {(1, 1, 3, True), (None, 1, 3, False), (2, 2, 1, True)}
+    assert got == {(1, 1, 3, True), (1, 1, 3, False), (None, 1, 3, False), (2, 2, 1, True)}
+    marks = [r.kept for r in exact_dedup.exact_dedup(odd).collect()]
+    assert sum(marks) == 2 and exact_dedup.drop_exact_copies(odd).count() == 2
+    same = spark.createDataFrame([(1, "a b"), (1, "a  b"), (1, "ab"), (None, "q"), (None, "q ")], corpora.SCHEMA)
+    assert sorted(r.text for r in exact_dedup.exact_dedup(same).where("kept").collect()) == ["a  b", "q "]
+    assert sorted(r.text for r in exact_dedup.drop_exact_copies(same).collect()) == ["a  b", "q "]
     assert exact_dedup.drop_exact_copies(odd).columns == ["doc_id", "text", "keep_id"]
 
 
@@ -40,7 +46,12 @@ def test_small_buckets_give_the_same_result(docs):
     _, df = docs
     one, many = (rows(exact_dedup.exact_dedup(df, bucket_entries=k).select("doc_id", "keep_id")) for k in (10**6, 4))
     assert one == many
-    assert exact_dedup.build_index(df, bucket_entries=4).select("bucket").distinct().count() > 4
+    index = exact_dedup.build_index(df, bucket_entries=4)
+    owned = index.entries.withColumn("f", F.input_file_name()).groupBy("__bucket").agg(F.min("__key").alias("lo"), F.max("__key").alias("hi"), F.count("*").alias("n"), F.countDistinct("f").alias("owners")).collect()
+    assert len(owned) > 4 and max(r.n for r in owned) <= 4 and {r.owners for r in owned} == {1}
+    ranges = sorted((r.lo % 2**64, r.hi % 2**64) for r in owned if (r.lo < 0) == (r.hi < 0))
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert {r.doc_id for r in exact_dedup.drop_exact_copies(df).collect()} == {i for i, k in one if i == k}
 
 
 def test_near_dedup_matches_plain_version(docs):
@@ -253,7 +264,7 @@ def encoded(text):
     return t.encode(text, add_special_tokens=False).ids
 
 
-TEXTS = ["", " ", "Hello  world\n\n  don't stop", "a b 　 c\x1cd\x85e", "naïve café 12345 &&& \t\t x", "ends \n", "\n\nfoo bar", "日本語 テキスト 🙂🙂", "  lead", "a" * 300, "x\r\ny  \r\n z"]
+TEXTS = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>don't<|endoftext|>\n", "<|endoftext|", "", " ", "Hello  world\n\n  don't stop", "a b 　 c\x1cd\x85e", "naïve café 12345 &&& \t\t x", "ends \n", "\n\nfoo bar", "日本語 テキスト 🙂🙂", "  lead", "a" * 300, "x\r\ny  \r\n z"]
 
 
 def test_encoder_equals_the_tokenizer():
