@@ -17,6 +17,8 @@ import functools
 import html as entities
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ RAW = set("script style textarea title xmp iframe noembed noframes".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 SCOPES = set("ul ol dl table select button html body article section div nav aside main header footer form td th li".split())
 #: Groups of tags and of attribute tokens that features count.
 TAGS = ["nav menu", "header", "footer", "aside", "form fieldset", "article", "main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "a", "table thead tbody tr td th", "figure figcaption", "blockquote", "pre code", "b i em strong span u small", "button input select option textarea label", "script style noscript template svg iframe object", "head title meta link", "#text", "html body"]
@@ -44,69 +47,135 @@ TOKENS = [
 ]
 _TAG = {t: i for i, g in enumerate(TAGS) for t in g.split()}
 _TOKEN = {t: i for i, g in enumerate(TOKENS) for t in g.split()}
-_LEX = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/><]*)")
+_LIMIT = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s"'<>/=]+)""")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "tokens", "hidden", "parent", "kids", "text")
+    """``block`` is the nearest element of itself and above that is not inline, and
+    ``part`` the nearest that is no heading either."""
+
+    __slots__ = ("tag", "tokens", "hidden", "parent", "kids", "text", "block", "part")
 
     def __init__(self, tag: str, parent: Node | None, text: str = "") -> None:
         self.tag, self.parent, self.text, self.kids, self.tokens, self.hidden = tag, parent, text, [], (), False
+        inline = parent is not None and tag in INLINE
+        self.block = parent.block if inline else self
+        self.part = parent.part if inline or tag in HEADINGS else self
         if parent is not None:
             parent.kids.append(self)
 
 
+class Lexer:
+    """Tags, comments and texts of a page in one forward pass. Whether a tag that holds
+    a place outside quotes comes to its end does not depend on where it begins, so
+    places that lead nowhere are remembered and each is passed once."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.limits = [m.start() for m in _LIMIT.finditer(page)]
+        self.dead: set[int] = set()
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def tag_end(self, at: int) -> int:
+        """Place of the bracket that closes a tag of which ``at`` is outside quotes, or -1."""
+        k, passed = bisect_left(self.limits, at), []
+        while k < len(self.limits) and self.last[">"] >= at:
+            at = self.limits[k]
+            if at in self.dead:
+                break
+            if self.page[at] == ">":
+                return at
+            passed.append(at)
+            if self.last[self.page[at]] == at:
+                break
+            at = self.page.index(self.page[at], at + 1) + 1
+            k = bisect_left(self.limits, at)
+        self.dead.update(passed)
+        return -1
+
+    def next(self, at: int):
+        """(start, end, kind, match, raw) of the next markup from ``at``: kind "tag",
+        "text" (character data) or "" (nothing to show); None where none is left."""
+        page, n = self.page, len(self.page)
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, n if end < 0 else end + 3, "", None, ""
+            if page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at + 9)
+                return at, n if end < 0 else end + 3, "text", None, page[at + 9 : n if end < 0 else end]
+            if page.startswith(("<!", "<?"), at):
+                if self.last[">"] > at:
+                    return at, page.index(">", at) + 1, "", None, ""
+            elif m := _NAME.match(page, at + 1):
+                end = self.tag_end(m.end())
+                if end >= 0:
+                    return at, end + 1, "tag", m, page[m.end() : end]
+            at += 1
+        return None
+
+
 def parse(page: str) -> Node:
-    """A tree from any text; unclosed and misnested tags never fail."""
+    """A tree from any text, in time proportional to it; unclosed and misnested tags
+    never fail."""
     root = here = Node("#root", None)
-    at, n = 0, len(page)
+    lexer, at, n = Lexer(page), 0, len(page)
+    opened: Counter = Counter()  # open elements of each tag, so that nothing is looked for in vain
+
+    def up_to(node: Node) -> Node:
+        nonlocal here
+        while here is not node:
+            opened[here.tag] -= 1
+            here = here.parent
+        return node
+
     while at < n:
-        m = _LEX.search(page, at)
-        stop = m.start() if m else n
+        found = lexer.next(at)
+        stop = found[0] if found else n
         if stop > at:
             Node("#text", here, entities.unescape(page[at:stop]))
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                Node("#text", here, m[0][9:].removesuffix("]]>"))
+        _, at, kind, m, raw = found
+        if kind == "text":
+            Node("#text", here, raw)
+        if kind != "tag":
             continue
         tag = m[2].lower()
         if m[1]:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if opened[tag]:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                up_to(up.parent)
             continue
-        here = _implied(here, tag)
+        up_to(_implied(here, tag, opened))
         node = Node(tag, here)
-        if m[3].strip(" /"):
-            _attributes(node, m[3])
+        if raw.strip(" /"):
+            _attributes(node, raw)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             end = close.start() if close else n
             if tag in ("textarea", "title"):
                 Node("#text", node, entities.unescape(page[at:end]))
             at = close.end() if close else n
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not (raw.endswith("/") and tag in ("svg", "path", "use", "g", "circle", "rect")):
             here = node
-        elif tag not in VOID:
-            here = node if tag not in ("svg", "path", "use", "g", "circle", "rect") else here
+            opened[tag] += 1
     return root
 
 
-def _implied(here: Node, tag: str) -> Node:
-    if tag in CLOSES_P:
-        up = here
-        while up.parent is not None and up.tag != "p" and (up.tag in INLINE or up.tag in "h1 h2 h3 h4 h5 h6".split() and tag in "h1 h2 h3 h4 h5 h6".split()):
-            up = up.parent
+def _implied(here: Node, tag: str, opened: Counter) -> Node:
+    """The element that a new one belongs to, as some close others by their mere start."""
+    if tag in CLOSES_P and opened["p"]:
+        up = here.part if tag in HEADINGS else here.block
         if up.tag == "p":
             return up.parent
-    if same := SAME_CLOSES.get(tag):
+    same = SAME_CLOSES.get(tag)
+    if same and any(opened[t] for t in same):
         up = here
         while up.parent is not None and up.tag not in same and up.tag not in ("ul", "ol", "dl", "table", "select"):
             up = up.parent
