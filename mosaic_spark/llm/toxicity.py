@@ -172,8 +172,10 @@ def fit_chain(texts: list[str], toxic: list[int], categories: int = CATEGORIES,
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Chain:
     """Fits on at most ``most_toxic`` + ``most_clean`` labelled rows of ``docs``, the
-    first in hash order, so the sample is the same in every run."""
+    first in hash order, so the sample is the same in every run. Labels that repeat an
+    id count once, as toxic if one of them says so."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
+    known = known.groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     order = F.xxhash64("__id", F.lit("toxic"))
     picks = [known.where(F.col("__toxic") == v).orderBy(order, "__id").limit(k) for v, k in ((1, most_toxic), (0, most_clean))]
     sample = picks[0].unionByName(picks[1])
@@ -222,7 +224,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            p = chain.score(texts)[:, -1] if texts else np.zeros(0)
+            p = np.round(chain.score(texts)[:, -1], 6) if texts else np.zeros(0)
             yield b.filter(pa.array((p < chain.threshold) | np.array([not t for t in texts], bool)))
 
     return docs.mapInArrow(run, fields)
