@@ -3,7 +3,9 @@ connected components, and zero-copy access to Arrow text columns."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Intermediate tables of one run, below a folder of its own on the shared folder.
+
+    A table's lineage is cut by its files, so a lost executor costs no earlier step;
+    small files are read many to a task. What later steps do not read is deleted."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self._count = 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self._count += 1
+        path = f"{self.path}/{self._count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more, and lets the executors delete the
+        shuffle files of what was read from them."""
+        for t in tables:
+            delete(self.spark, {f.rsplit("/", 1)[0] for f in t.inputFiles()})
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def delete(spark: SparkSession, paths) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text or binary Arrow column and its n+1 offsets, without
     decoding. Nulls count as empty."""
@@ -94,26 +128,60 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([sets.find(x) for x in part], pa.int64())], ["id", "root"])
 
 
+def _agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, root) sorted by both: (id, its smallest root, false), and (root, smallest
+    root, true) for every other root of the id."""
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        ids, roots = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        first = np.append(last is None or ids[0] != last[0], ids[1:] != ids[:-1])
+        at = np.maximum.accumulate(np.where(first, np.arange(len(ids)), -1))
+        least = np.where(at >= 0, roots[at], last[1] if last else 0)
+        last = int(ids[-1]), int(least[-1])
+        other = ~first & (roots != least)
+        keep = first | other
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(first, ids, roots)[keep]), pa.array(least[keep]), pa.array(other[keep])], ["id", "root", "clash"])
+
+
+#: Edges that one task joins at a time: some 50 MB of its memory.
+TASK_EDGES = 250_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id of an undirected edge table; component is the
     smallest id reachable.
 
-    Each round contracts the edges of a partition to stars, keeps the smallest
-    root of every id, turns disagreeing roots into new edges and jumps pointers.
-    Nothing is gathered on the driver except two counts a round; ids without an
-    edge do not appear."""
-    now = edges.select(F.col(a).alias("id"), F.col(b).alias("root")).where("id <> root")
+    Each round contracts the edges of a partition to stars, keeps the smallest root of
+    every id, turns its other roots into new edges and jumps pointers, until no root
+    moves or one partition holds all edges. An id has a row a partition at most, so a
+    hot one is no hot key. Nothing is gathered on the driver but a count and marks a
+    round; ids without an edge do not appear."""
+    tables = Tables(edges.sparkSession, "components")
+    now = tables.put(edges.select(F.col(a).cast("long").alias("id"), F.col(b).cast("long").alias("root")).where("id <> root"))
+    held, rows = [now], now.count()
     for _ in range(max_rounds):
-        stars = cut(now.mapInArrow(_stars, "id long, root long"))
-        least = stars.groupBy("id").agg(F.min("root").alias("m"))
-        up = least.select(F.col("id").alias("m"), F.col("m").alias("mm"))
-        forest = cut(least.join(up, "m", "left").select("id", F.coalesce("mm", "m").alias("root"), F.col("mm").isNotNull().alias("moved")))
-        clash = stars.join(least, "id").where("root <> m").select(F.col("root").alias("id"), F.col("m").alias("root"))
-        moved = forest.where("moved").limit(1).count()
-        if not moved and not clash.limit(1).count():
-            roots = forest.select(F.col("root").alias("id")).distinct()
-            return cut(forest.select("id", F.col("root").alias("component")).unionByName(roots.select("id", F.col("id").alias("component"))))
-        now = forest.select("id", "root").unionByName(clash)
+        parts = -(-rows // TASK_EDGES)
+        stars = now.coalesce(max(1, parts)).mapInArrow(_stars, "id long, root long")
+        if parts > 1:
+            stars = stars.repartition("id").sortWithinPartitions("id", "root")
+            agreed = tables.put(stars.mapInArrow(_agreed, "id long, root long, clash boolean"))
+            forest, clash = agreed.where("NOT clash").select("id", "root"), agreed.where("clash").select("id", "root")
+            up = forest.select(F.col("id").alias("root"), F.col("root").alias("upper"))
+            jumped = tables.put(forest.join(up, "root", "left").select("id", F.coalesce("upper", "root").alias("root"), F.col("upper").isNotNull().alias("moved")))
+            moved, rows = jumped.agg(F.max("moved"), F.count(F.lit(1))).first()
+            more = clash.count()
+            held += [agreed, jumped]
+            now, rows = jumped.select("id", "root").unionByName(clash), rows + more
+            if moved or more:
+                continue
+            stars = jumped.select("id", "root")
+        out = tables.put(stars)
+        roots = out.select(F.col("root").alias("id")).distinct()
+        out = out.select("id", F.col("root").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+        tables.drop(*held)
+        return out
     raise RuntimeError("components did not settle")
 
 

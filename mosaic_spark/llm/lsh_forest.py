@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, slices, text_buffers, whole_groups
+from .common import Tables, components, delete, slices, text_buffers, whole_groups
 
 SHINGLE, TREES, DEPTH = 5, 32, 4
 VALUES = TREES * DEPTH
@@ -89,6 +89,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, off = text_buffers(b.column(1))
         for i, j in slices(off, 8_000_000):
             sizes, ids, keys, sigs = [], [], [], []
+            part = b.slice(i, j - i)
             for k in range(i, j):
                 s = shingle_set(raw[off[k] : off[k + 1]].tobytes())
                 sizes.append(len(s))
@@ -102,7 +103,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     tree = mixed(tree * _P + m.reshape(TREES, DEPTH)[:, d])
                 keys.append(tree.view(np.int64))
                 sigs.append(signature(m))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), part.column(2)], names=["doc_id", "n_shingles", "set_id", "keys", "sig", "text_id"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,7 @@ def _open_pairs(skip: int, take: int):
     return run
 
 
-def regions(nodes: DataFrame, region_rows: int = REGION_ROWS) -> tuple[DataFrame, DataFrame, bool]:
+def regions(nodes: DataFrame, tables: Tables, region_rows: int = REGION_ROWS) -> tuple[DataFrame, DataFrame, bool]:
     """Rows of every region with two nodes or more: (key, tree, id, c), c its nodes, and
     (key, tree, id) of parts of at most about ``region_rows`` nodes, by adaptive depth.
     The last says whether there are larger regions than that."""
@@ -240,7 +241,7 @@ def regions(nodes: DataFrame, region_rows: int = REGION_ROWS) -> tuple[DataFrame
     ids = nodes.select("id", F.posexplode("keys").alias("tree", "key")).select("key", "tree", "id")
     while True:
         counts = ids.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("head")).where("c > 1")
-        kept = cut(ids.join(counts, "key"))
+        kept = tables.put(ids.join(counts, "key"))
         area = kept.select("key", "tree", "id", "c") if area is None else area
         fits = kept.where(F.col("c") <= region_rows).select("key", "tree", "id")
         done = fits if done is None else done.unionByName(fits)
@@ -254,7 +255,7 @@ def regions(nodes: DataFrame, region_rows: int = REGION_ROWS) -> tuple[DataFrame
         more = F.substring(F.concat("sig", "sig"), at.cast("int"), F.lit(4)) if depth + 4 <= VALUES else F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / region_rows) * 2).cast("string").cast("binary")
         big = big.withColumn("old", F.col("key")).withColumn("key", F.xxhash64("old", more))
         heads = big.select("key", "tree", F.col("head").alias("id")).distinct()
-        ids = cut(big.select("key", "tree", "id").unionByName(heads).distinct())
+        ids = tables.put(big.select("key", "tree", "id").unionByName(heads).distinct())
         depth += 4
     return area, done, large
 
@@ -272,15 +273,16 @@ def _blocks(named: DataFrame, region_rows: int) -> DataFrame:
     return small.unionByName(other).select(F.xxhash64("key", "p", "q").alias("key"), "tree", "id", "component", "side")
 
 
-def near_links(nodes: DataFrame, texts: DataFrame, similarity: int = SIMILARITY, region_rows: int = REGION_ROWS) -> DataFrame:
-    """(id, component) over ``nodes`` (id, n, keys, sig) whose texts are (id, text)."""
-    area, parts, large = regions(nodes, region_rows)
-    wanted = area.select("id").distinct()
-    sets = cut(texts.join(wanted, "id").select("id", "text").mapInArrow(_set_rows, "id long, s binary, wide binary"))
+def near_links(nodes: DataFrame, texts_of, similarity: int = SIMILARITY, region_rows: int = REGION_ROWS) -> DataFrame:
+    """(id, component) over ``nodes`` (id, n, keys, sig); ``texts_of`` gives the rows
+    (id, text) of a table of ids."""
+    tables = Tables(nodes.sparkSession, "near-links")
+    area, parts, large = regions(nodes, tables, region_rows)
+    sets = tables.put(texts_of(area.select("id").distinct()).select("id", "text").mapInArrow(_set_rows, "id long, s binary, wide binary"))
 
     def check(pairs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        return cut(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_checked(similarity), "a long, b long, linked boolean"))
+        return tables.put(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_checked(similarity), "a long, b long, linked boolean"))
 
     def still_open(pairs: DataFrame, comp: DataFrame, tested: DataFrame) -> DataFrame:
         ca, cb = (comp.select(F.col("id").alias(c), F.col("component").alias("c" + c)) for c in "ab")
@@ -291,7 +293,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, similarity: int = SIMILARITY,
         return rows.repartition("key").sortWithinPartitions("key", "id")
 
     near = by_region(parts.join(nodes.select("id", "sig"), "id").select("key", "tree", "id", "sig"))
-    near = cut(near.mapInArrow(_neighbour_pairs, "a long, b long, e double").groupBy("a", "b").agg(F.max("e").alias("e")))
+    near = tables.put(near.mapInArrow(_neighbour_pairs, "a long, b long, e double").groupBy("a", "b").agg(F.max("e").alias("e")))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
     best = both.groupBy("a").agg(F.max_by("b", "e").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = check(best)
@@ -300,7 +302,8 @@ def near_links(nodes: DataFrame, texts: DataFrame, similarity: int = SIMILARITY,
     tested = tested.unionByName(last)
     if last.where("linked").limit(1).count():
         comp = components(tested.where("linked"))
-    wide = cut(nodes.select("id", "n", F.col("keys").alias("places")).join(sets.select("id", "wide"), "id"))
+    tables.drop(near)
+    wide = tables.put(nodes.select("id", "n", F.col("keys").alias("places")).join(sets.select("id", "wide"), "id"))
     # the second round starts over, as another component may be the largest by then
     take = 32
     while True:
@@ -311,39 +314,60 @@ def near_links(nodes: DataFrame, texts: DataFrame, similarity: int = SIMILARITY,
         if large:
             rows = rows.unionByName(_blocks(named.where(F.col("c") > region_rows), region_rows))
         rows = rows.join(wide, "id").select("key", "tree", "id", "n", "wide", "places", "component", "side")
-        found = cut(by_region(rows).mapInArrow(_open_pairs(0, take), "a long, b long, e double"))
+        found = tables.put(by_region(rows).mapInArrow(_open_pairs(0, take), "a long, b long, e double"))
         last = check(still_open(found.where("a IS NOT NULL"), comp, tested))
         if last.where("linked").limit(1).count():
             tested = tested.unionByName(last)
             comp = components(tested.where("linked"))
-        if not found.where("a IS NULL").limit(1).count():
+        more = found.where("a IS NULL").limit(1).count()
+        tables.drop(found)
+        if not more:
+            delete(nodes.sparkSession, [tables.path])
             return comp
         take = 1 << 40
 
 
+def _marked(docs: DataFrame, text: str, doc_id: str, similarity: int, region_rows: int) -> DataFrame:
+    """(doc_id, text_id, n_shingles, component_id, kept), text_id the hash of the text."""
+    tables = Tables(docs.sparkSession, "near-dedup")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("text_id", F.xxhash64("text"))
+    base = tables.put(rows.mapInArrow(_signed, "doc_id long, n_shingles long, set_id binary, keys array<long>, sig binary, text_id long"))
+    some = base.where("set_id IS NOT NULL")
+    # the row that lends its text to a set: the smallest id's, and of its texts the smallest hash
+    lender = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id", F.col("n_shingles").alias("n"), "keys", "sig")
+    first = some.groupBy("set_id").agg(F.min(lender).alias("x"))
+    nodes = tables.put(first.select("set_id", F.monotonically_increasing_id().alias("id"), "x.doc_id", "x.text_id", "x.n", "x.keys", "x.sig"))
+    again = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        lenders = nodes.join(ids, "id").select("id", F.col("doc_id").alias("d"), F.col("text_id").alias("t"))
+        lent = rows.join(lenders, rows.doc_id.eqNullSafe(F.col("d")) & (rows.text_id == F.col("t"))).select("id", "text")
+        return lent.dropDuplicates(["id"]) if again else lent  # rows that repeat id and text
+
+    comp = near_links(nodes, texts_of, similarity, region_rows)
+    named = nodes.select("id", "set_id", "doc_id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = named.join(least, "component").select(F.col("set_id").alias("__set"), "least")
+    out = base.select("doc_id", "text_id", "n_shingles", "set_id").join(named, F.col("set_id") == F.col("__set"), "left")
+    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", "text_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: int = SIMILARITY, region_rows: int = REGION_ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row per document.
+    """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``.
 
     Documents link at 100 * intersection >= ``similarity`` * union of their sets;
     component_id is the smallest id reachable. Null texts and texts without words
     have the empty set, link with nothing and stay. A text of fewer than five
-    words is one shingle. Rows that repeat an id with one text are the same node
-    and carry the same mark. A null id ranks last. An empty table gives an empty
-    result."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    base = cut(rows.mapInArrow(_signed, "doc_id long, n_shingles long, set_id binary, keys array<long>, sig binary"))
-    some = base.where("set_id IS NOT NULL")
-    first = some.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("n_shingles").alias("n"), "keys", "sig")).alias("x"))
-    nodes = first.select("set_id", F.col("x.doc_id").alias("id"), "x.n", "x.keys", "x.sig").where("id IS NOT NULL")
-    comp = near_links(nodes, rows.select(F.col("doc_id").alias("id"), "text"), similarity, region_rows)
-    named = nodes.select("set_id", "id").join(comp, "id", "left").select(F.col("set_id").alias("__set"), F.coalesce("component", "id").alias("__component"))
-    out = base.select("doc_id", "n_shingles", "set_id").join(named, F.col("set_id") == F.col("__set"), "left")
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("__component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    words is one shingle. A set is a node of its own, whatever its rows' ids: rows that
+    repeat an id with different texts are different nodes, and rows with a null id link
+    like others. A null id ranks last; a component of such rows alone has a null id and
+    its rows are kept, as no id tells them apart. An empty table gives an empty result."""
+    return _marked(docs, text, doc_id, similarity, region_rows).drop("text_id")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component, with the columns of ``docs``; rows that repeat
-    the id that stays count as one document and stay too."""
-    kept = near_dedup(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__id"))).select(*docs.columns)
+    """The rows that near_dedup keeps, with the columns of ``docs``."""
+    kept = _marked(docs, text, doc_id, SIMILARITY, REGION_ROWS).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text")).distinct()
+    whole = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (whole == F.col("__text")), "left_semi").select(*docs.columns)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaic_spark.llm import exact_dedup, lsh_forest, mixing, nn_descent, packing, suffix_radix, token_counts
+from mosaic_spark.llm import common, exact_dedup, lsh_forest, mixing, nn_descent, packing, suffix_radix, token_counts
 from mosaic_spark.llm.common import components
 
 from ..conftest import rows
@@ -97,7 +97,8 @@ def _one_region(spark, texts, region_rows):
     rng = np.random.default_rng(8)
     rows = [(i, len(brute.shingles(t)), [77] + [1000 + 40 * i + k for k in range(lsh_forest.TREES - 1)], rng.bytes(lsh_forest.VALUES)) for i, t in enumerate(texts)]
     nodes = spark.createDataFrame([(i, n, k, bytearray(s)) for i, n, k, s in rows], "id long, n long, keys array<long>, sig binary")
-    comp = lsh_forest.near_links(nodes, spark.createDataFrame(list(enumerate(texts)), "id long, text string"), region_rows=region_rows)
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    comp = lsh_forest.near_links(nodes, lambda ids: table.join(ids, "id"), region_rows=region_rows)
     found = dict(map(tuple, comp.collect()))
     return {i: found.get(i, i) for i in range(len(texts))}
 
@@ -138,6 +139,15 @@ def test_near_dedup_odd_tables(spark):
     odd = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, None), (4, "")], corpora.SCHEMA)
     got = sorted(map(tuple, lsh_forest.near_dedup(odd).collect()), key=repr)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True)], key=repr)
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words[:50], f"x{k}", *words[51:]]) for k in range(3)]
+    other = " ".join(f"o{k}" for k in range(30))
+    mixed = [(7, near[0], "a"), (None, near[1], "b"), (None, near[2], "c"), (7, other, "d"), (None, "alone " * 9, "e"), (8, other + " end", "f")]
+    table = spark.createDataFrame(mixed, "doc_id long, text string, component_id string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in lsh_forest.near_dedup(table).collect()), key=repr)
+    assert got == sorted([(7, 56, 7, True), (None, 56, 7, False), (None, 56, 7, False), (7, 26, 7, True), (None, 1, None, True), (8, 27, 7, False)], key=repr)
+    kept = lsh_forest.drop_near_copies(table)
+    assert kept.columns == table.columns and sorted(r.component_id for r in kept.collect()) == ["a", "d", "e"]
 
 
 @pytest.mark.parametrize("hot,few", [(200_000, 10**6), (3, 10**6), (200_000, 0), (3, 0)])
@@ -221,9 +231,12 @@ def test_embedding_empty(spark):
     assert nn_descent.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("task_edges", [10**6, 20])
+def test_components_of_paths_and_stars(spark, monkeypatch, task_edges):
     import random
 
+    monkeypatch.setattr(common, "TASK_EDGES", task_edges)
+
     edges = [(i, i + 1) for i in range(200)] + [(1000, k) for k in range(1001, 1040)] + [(5000, 5000)]
     random.Random(1).shuffle(edges)
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()))
