@@ -1,7 +1,8 @@
 """Loopy belief propagation over a family: pedigree links times genome positions.
 
 Every taxon is a chain over positions; parents and children exchange messages per
-position. A chain's belief is a forward-backward pass tilted by its messages."""
+position. A chain's belief is a forward-backward pass tilted by its messages. Taxa of
+one depth do not hear each other within a sweep, so their chains are passed together."""
 
 from __future__ import annotations
 
@@ -47,87 +48,207 @@ def tree(taxa: list[str], parents: list[str | None]) -> tuple[list[int], list[in
     return up, depth, roots[0]
 
 
+#: Cells (positions times taxa) of a group of chains that are passed over at once, and
+#: the number of chains from which arrays beat plain floats.
+GROUP_CELLS, FEW = 6_000_000, 8
+
+
+class _Group:
+    """Taxa of one depth that all have children or all have none. Arrays are
+    [position, state, taxon]; ``up`` and ``down`` are the messages to and from the parents."""
+
+    def __init__(self, nodes: list[int], leaves: bool, m: int, root: bool) -> None:
+        self.nodes, self.leaves, self.root = nodes, leaves, root
+        self.up = self.down = None if root else np.full((m, 3, len(nodes)), 1 / 3)
+        if not root:
+            self.down = self.up.copy()
+
+
 class Family:
-    """``emission``: per taxon [position, state] or None without data."""
-
-    def __init__(self, up, meioses, emission, start, stationary, rates) -> None:
-        self.up, self.n, self.m = up, len(up), len(rates) + 1
-        self.kids = [[c for c, p in enumerate(up) if p == v] for v in range(self.n)]
-        self.emission = [np.ones((self.m, 3)) if e is None else e for e in emission]
-        self.start = start
-        one = np.full((self.m, 3), 1 / 3)
-        self.to_parent = [one.copy() for _ in up]
-        self.to_child = [one.copy() for _ in up]  # by child
+    """``observed``: per taxon None or (positions, likelihoods [.., state] there); other
+    positions say nothing."""
+
+    def __init__(self, up, meioses, observed, start, stationary, rates) -> None:
+        self.parent, self.m, self.observed = up, len(rates) + 1, observed
+        self.start, self.stationary = np.array(start, float), np.array(stationary, float)
         # a step keeps the state with 1 - r or draws it anew from the stationary shares
-        self.fresh = [(0.5 * (1 - (1 - 2 * rates) ** max(1, k))).tolist() for k in meioses]
-        self.stationary = [np.asarray(x, float).tolist() for x in stationary]
-        self.belief = [None] * self.n
-
-    def refresh(self, v: int, tilt: np.ndarray) -> None:
-        """Forward-backward of one chain. Messages are normalised, so drawing anew adds
-        r times the stationary shares; plain floats beat arrays of three."""
-        local, fresh, (p0, p1, p2) = (self.emission[v] * tilt).tolist(), self.fresh[v], self.stationary[v]
-        a, b, c = (x * y for x, y in zip(self.start[v], local[0]))
-        f = []
-        for i in range(self.m):
-            if i:
-                r, (x, y, z) = fresh[i - 1], local[i]
-                a, b, c = ((1 - r) * a + r * p0) * x, ((1 - r) * b + r * p1) * y, ((1 - r) * c + r * p2) * z
-            s = a + b + c
-            a, b, c = (a / s, b / s, c / s) if s > 0 else (1 / 3, 1 / 3, 1 / 3)
-            f.append((a, b, c))
-        back, a, b, c = [(1 / 3, 1 / 3, 1 / 3)] * self.m, 1 / 3, 1 / 3, 1 / 3
-        for i in range(self.m - 2, -1, -1):
-            r, (x, y, z) = fresh[i], local[i + 1]
-            a, b, c = a * x, b * y, c * z
-            d = r * (p0 * a + p1 * b + p2 * c)
-            a, b, c = (1 - r) * a + d, (1 - r) * b + d, (1 - r) * c + d
-            s = a + b + c
-            a, b, c = (a / s, b / s, c / s) if s > 0 else (1 / 3, 1 / 3, 1 / 3)
-            back[i] = (a, b, c)
-        self.belief[v] = normalised(np.array(f) * np.array(back))
-
-    def incoming(self, v: int) -> np.ndarray:
+        self.fresh = {k: 0.5 * (1 - (1 - 2 * rates) ** max(1, k)) for k in set(meioses)}
+        self.meioses = meioses
+        kids: dict[int, list[int]] = {}
+        for v, p in enumerate(up):
+            kids.setdefault(p, []).append(v)
+        self.levels: list[list[_Group]] = []
+        self.place: dict[int, tuple[_Group, int]] = {}
+        layer = kids[-1]
+        most = max(1, GROUP_CELLS // self.m)
+        while layer:
+            groups = []
+            for leaves in (False, True):
+                # children of one parent lie side by side; taxa of a group share their meioses
+                some = [v for v in layer if (v not in kids) == leaves]
+                for count in sorted({meioses[v] for v in some}):
+                    alike = [v for v in some if meioses[v] == count]
+                    groups += [_Group(alike[i : i + most], leaves, self.m, not self.levels) for i in range(0, len(alike), most)]
+            self.place |= {v: (g, k) for g in groups for k, v in enumerate(g.nodes)}
+            self.levels.append(groups)
+            layer = [c for v in layer for c in kids.get(v, ())]
+        self.spans = {v: self._spans(c) for v, c in kids.items() if v >= 0}
+        self.inner: dict[int, np.ndarray] = {}  # beliefs of taxa with children
+
+    def _spans(self, nodes: list[int]) -> list[tuple[_Group, int, int]]:
+        """Where children lie: (group, first, end) of runs of columns."""
+        out: list[tuple[_Group, int, int]] = []
+        for g, k in (self.place[v] for v in nodes):
+            if out and out[-1][0] is g and out[-1][2] == k:
+                out[-1] = (g, out[-1][1], k + 1)
+            else:
+                out.append((g, k, k + 1))
+        return out
+
+    def _from_children(self, v: int) -> np.ndarray:
+        """Product of the children's messages, scaled as it grows: hundreds of them
+        would leave the range of floats."""
         out = np.ones((self.m, 3))
-        for c in self.kids[v]:
-            out = out * self.to_parent[c]
-        return out * self.to_child[v] if self.up[v] >= 0 else out
-
-    def _send(self, held: list, slot: int, cavity_of: int, without: np.ndarray, link: np.ndarray, damping: float) -> float:
-        cavity = normalised(self.belief[cavity_of] / np.maximum(without, FLOOR))
-        target = normalised(cavity @ link)
-        new = normalised(np.maximum(held[slot], FLOOR) ** (1 - damping) * np.maximum(target, FLOOR) ** damping)
-        moved = float(np.abs(new - held[slot]).max())
-        held[slot] = new
-        return moved
+        for g, i, j in self.spans.get(v, ()):
+            for k in range(i, j, 16):
+                out *= g.up[:, :, k : min(k + 16, j)].prod(axis=2)
+                out /= out.max(axis=1, keepdims=True)
+        return out
+
+    def _beliefs(self, g: _Group) -> np.ndarray:
+        """Forward-backward of the group's chains under the messages they have."""
+        local = np.ones((self.m, 3, len(g.nodes))) if g.root else g.down.copy()
+        for k, v in enumerate(g.nodes):
+            if not g.leaves:
+                local[:, :, k] *= self._from_children(v)
+            if self.observed[v] is not None:
+                at, likelihood = self.observed[v]
+                local[at, :, k] *= likelihood
+        start, shares, r = self.start[g.nodes].T.copy(), self.stationary[g.nodes].T.copy(), self.fresh[self.meioses[g.nodes[0]]]
+        out = _passes(local, start, shares, r) if len(g.nodes) >= FEW else None
+        if out is None or not np.isfinite(out).all():
+            out = np.stack([_plain_passes(local[:, :, k], start[:, k], shares[:, k], r) for k in range(len(g.nodes))], axis=2)
+        return out
+
+    def _send_up(self, g: _Group, beliefs: np.ndarray, damping: float) -> float:
+        return _damped(g.up, beliefs, g.down, SELFED.T, damping)
 
     def run(self, rounds: int = 30, tol: float = 1e-4, damping: float = 0.5) -> int:
-        after = []
-        stack = [(self.up.index(-1), False)]
-        while stack:
-            v, seen = stack.pop()
-            if seen:
-                after.append(v)
-            else:
-                stack += [(v, True), *((c, False) for c in reversed(self.kids[v]))]
-        before, flat, used = after[::-1], np.ones((self.m, 3)), 0
-        for v in after:
-            self.refresh(v, flat)
+        """Rounds used. A taxon without children hears from its parent alone: what it says
+        next follows as soon as its chain is passed, so that nothing is passed twice."""
+        used, ahead = 0, 0.0
+        for g in (g for level in self.levels[1:] for g in level if g.leaves):
+            ahead = max(ahead, self._send_up(g, self._beliefs(g), damping))
         for used in range(1, rounds + 1):
-            moved = 0.0
-            for v in after:
-                self.refresh(v, self.incoming(v))
-                if self.up[v] >= 0:
-                    moved = max(moved, self._send(self.to_parent, v, v, self.to_child[v], SELFED.T, damping))
-            for v in before:
-                self.refresh(v, self.incoming(v))
-                for c in self.kids[v]:
-                    moved = max(moved, self._send(self.to_child, c, v, self.to_parent[c], SELFED, damping))
-            if moved < tol:
+            moved, ahead = ahead, 0.0
+            for level in reversed(self.levels):
+                for g in level:
+                    if g.leaves and not g.root:
+                        continue
+                    beliefs = self._beliefs(g)
+                    self._keep(g, beliefs)
+                    if not g.root:
+                        moved = max(moved, self._send_up(g, beliefs, damping))
+            later = []
+            for depth, level in enumerate(self.levels[:-1]):
+                for g in level:
+                    if not g.leaves and not g.root:
+                        self._keep(g, self._beliefs(g))
+                for v in (v for g in level if not g.leaves for v in g.nodes):
+                    for g, i, j in self.spans[v]:
+                        moved = max(moved, _damped(g.down[:, :, i:j], self.inner[v][:, :, None], g.up[:, :, i:j], SELFED, damping))
+                later += [g for g in self.levels[depth + 1] if g.leaves]
+            if moved < tol or used == rounds:
                 break
-        for v in before:
-            self.refresh(v, self.incoming(v))
+            for g in later:
+                ahead = max(ahead, self._send_up(g, self._beliefs(g), damping))
         return used
 
-    def states(self, v: int) -> np.ndarray:
-        return self.belief[v].argmax(axis=1)
+    def _keep(self, g: _Group, beliefs: np.ndarray) -> None:
+        if not g.leaves or g.root:
+            self.inner |= {v: beliefs[:, :, k] for k, v in enumerate(g.nodes)}
+
+    def posteriors(self):
+        """(taxon, [position, state]) of every taxon."""
+        for level in self.levels:
+            for g in level:
+                beliefs = None if all(v in self.inner for v in g.nodes) else self._beliefs(g)
+                for k, v in enumerate(g.nodes):
+                    yield v, self.inner[v] if beliefs is None else beliefs[:, :, k]
+
+    def states(self):
+        """(taxon, most likely state of every position) of every taxon."""
+        for v, p in self.posteriors():
+            yield v, p.argmax(axis=1)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Shares over states, the middle axis; flat where all are 0."""
+    s = x.sum(axis=1, keepdims=True)
+    if (s > 0).all():
+        x /= s
+        return x
+    return np.where(s > 0, x / np.where(s > 0, s, 1), 1 / 3)
+
+
+def _damped(held: np.ndarray, beliefs: np.ndarray, without: np.ndarray, link: np.ndarray, damping: float) -> float:
+    """Moves messages towards what beliefs without the other side's say; the largest move."""
+    cavity = _scaled(beliefs / np.maximum(without, FLOOR))
+    target = _scaled(np.einsum("msk,st->mtk", cavity, link))
+    np.maximum(target, FLOOR, out=target)
+    old = np.maximum(held, FLOOR)
+    new = np.sqrt(old * target) if damping == 0.5 else old ** (1 - damping) * target**damping
+    new = _scaled(new)
+    np.subtract(new, held, out=old)
+    held[...] = new
+    return float(np.abs(old, out=old).max()) if old.size else 0.0
+
+
+def _passes(local: np.ndarray, start: np.ndarray, shares: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Beliefs of many chains at once, a position at a time. Forward values are kept at
+    sum 1, so drawing anew adds r times the stationary shares."""
+    m = len(local)
+    out, a = np.empty_like(local), start * local[0]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        a /= a.sum(axis=0)
+        out[0] = a
+        for i in range(1, m):
+            a = a * (1 - r[i - 1])
+            a += shares * r[i - 1]
+            a *= local[i]
+            a /= a.sum(axis=0)
+            out[i] = a
+        b = np.full_like(start, 1 / 3)
+        for i in range(m - 2, -1, -1):
+            b *= local[i + 1]
+            b /= b.sum(axis=0)
+            anew = (b * shares).sum(axis=0)
+            anew *= r[i]
+            b *= 1 - r[i]
+            b += anew
+            out[i] *= b
+    return _scaled(out)
+
+
+def _plain_passes(local: np.ndarray, start: np.ndarray, shares: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Beliefs of one chain in plain floats, which beat arrays of three."""
+    m, values, fresh, (p0, p1, p2) = len(local), local.tolist(), r.tolist(), shares.tolist()
+    a, b, c = (x * y for x, y in zip(start.tolist(), values[0]))
+    f = []
+    for i in range(m):
+        if i:
+            q, (x, y, z) = fresh[i - 1], values[i]
+            a, b, c = ((1 - q) * a + q * p0) * x, ((1 - q) * b + q * p1) * y, ((1 - q) * c + q * p2) * z
+        s = a + b + c
+        a, b, c = (a / s, b / s, c / s) if s > 0 else (1 / 3, 1 / 3, 1 / 3)
+        f.append((a, b, c))
+    back, a, b, c = [(1 / 3, 1 / 3, 1 / 3)] * m, 1 / 3, 1 / 3, 1 / 3
+    for i in range(m - 2, -1, -1):
+        q, (x, y, z) = fresh[i], values[i + 1]
+        a, b, c = a * x, b * y, c * z
+        d = q * (p0 * a + p1 * b + p2 * c)
+        a, b, c = (1 - q) * a + d, (1 - q) * b + d, (1 - q) * c + d
+        s = a + b + c
+        a, b, c = (a / s, b / s, c / s) if s > 0 else (1 / 3, 1 / 3, 1 / 3)
+        back[i] = (a, b, c)
+    return normalised(np.array(f) * np.array(back))

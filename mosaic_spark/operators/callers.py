@@ -469,30 +469,30 @@ def _pedigree_states(data: DataFrame, pedigree: DataFrame, design: str, emission
             up, depth, root = belief.tree(taxa, parents)
             sites, first, site = np.unique(column(unit, "pos"), return_index=True, return_inverse=True)
             cm = column(unit, "cm").astype(float)[first] if use_cm else None
-            names = column(unit, "name").astype(str)
-            logs: list = [None] * len(taxa)
-            for v, taxon in enumerate(taxa):
-                own = np.flatnonzero(names == taxon)
-                if not len(own):
-                    continue
-                own = own[np.unique(site[own], return_index=True)[1]]
-                if isinstance(emission, GenotypeEmission):
-                    g = np.full(len(sites), 3)
-                    known = column(unit, "state")[own]
-                    g[site[own]] = np.where(np.isnan(known.astype(float)), 3, known).astype(int)
-                    logs[v] = emission.matrix().T[g]
-                else:
-                    r, a = np.zeros(len(sites), np.int64), np.zeros(len(sites), np.int64)
-                    r[site[own]], a[site[own]] = column(unit, "n_ref")[own], column(unit, "n_alt")[own]
-                    logs[v] = np.exp(count_emission(r, a, emission))
+            labels, row_taxon = np.unique(column(unit, "name").astype(str), return_inverse=True)
+            number = {t: v for v, t in reversed(list(enumerate(taxa)))}
+            row_taxon = np.array([number[x] for x in labels])[row_taxon]
+            # rows of a taxon together, in order of their sites; of one site the first counts
+            order = np.lexsort((site, row_taxon))
+            first_of = np.append(True, (np.diff(row_taxon[order]) != 0) | (np.diff(site[order]) != 0))
+            own, seen = np.split(order, np.searchsorted(row_taxon[order], np.arange(1, len(taxa)))), [None] * len(taxa)
+            if isinstance(emission, GenotypeEmission):
+                known = column(unit, "state").astype(float)
+                likelihood = emission.matrix().T[np.where(np.isnan(known), 3, known).astype(int)]
+            else:
+                likelihood = np.exp(count_emission(column(unit, "n_ref").astype(np.int64), column(unit, "n_alt").astype(np.int64), emission))
+            single = np.zeros(len(unit), bool)
+            single[order[first_of]] = True
+            for v, at in enumerate(own):
+                at = at[single[at]]
+                seen[v] = (site[at], likelihood[at]) if len(at) else None
             uniform = np.full(3, 1 / 3)
             start = [prior if v == root else uniform for v in range(len(taxa))]
-            fam = belief.Family(up, [n_bc + 1 + d for d in depth], logs, start, start, belief.interval_rates(sites, cm, rrate))
+            fam = belief.Family(up, [n_bc + 1 + d for d in depth], seen, start, start, belief.interval_rates(sites, cm, rrate))
             fam.run(rounds, tol, damping)
             states = np.zeros(len(unit), np.int32)
-            for v, taxon in enumerate(taxa):
-                own = names == taxon
-                states[own] = fam.states(v)[site[own]]
+            for v, called in fam.states():
+                states[own[v]] = called[site[own[v]]]
             out.append(append(unit, KEEP, state=pa.array(states, pa.int32())))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 

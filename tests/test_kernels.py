@@ -263,11 +263,61 @@ def test_imputation_recovers_the_family():
 def test_belief_of_a_small_family():
     emission = specs.GenotypeEmission()
     prior = np.array([0.75, 0.25, 0.0])
-    logs = [None, emission.matrix().T[np.full(20, 2)], emission.matrix().T[np.full(20, 3)]]
+    logs = [None, (np.arange(20), emission.matrix().T[np.full(20, 2)]), None]
     start = [prior, np.full(3, 1 / 3), np.full(3, 1 / 3)]
     fam = belief.Family([-1, 0, 0], [3, 4, 4], logs, start, start, np.full(19, 0.01))
     fam.run()
-    assert (fam.states(1) == 2).all() and (fam.belief[2][:, 0] < 1 / 3 - 0.02).all()
+    assert (dict(fam.states())[1] == 2).all() and (dict(fam.posteriors())[2][:, 0] < 1 / 3 - 0.02).all()
+
+
+def plain_family(up, meioses, observed, start, rates, rounds, damping=0.5):
+    """Messages taxon by taxon, every chain passed anew whenever it is asked."""
+    m, n = len(rates) + 1, len(up)
+    kids = [[c for c, p in enumerate(up) if p == v] for v in range(n)]
+    depth = [0] * n
+    for v in range(n):
+        p = up[v]
+        while p >= 0:
+            depth[v], p = depth[v] + 1, up[p]
+    before = sorted(range(n), key=lambda v: depth[v])
+    to_parent, to_child = ([np.full((m, 3), 1 / 3) for _ in up] for _ in "ab")
+
+    def passed(v):
+        local = np.ones((m, 3)) if up[v] < 0 else to_child[v].copy()
+        for c in kids[v]:
+            local = local * to_parent[c]
+        if observed[v] is not None:
+            local[observed[v][0]] *= observed[v][1]
+        return belief._plain_passes(local, start[v], start[v], 0.5 * (1 - (1 - 2 * rates) ** meioses[v]))
+
+    def moved(old, b, without, link):
+        cavity = belief.normalised(b / np.maximum(without, 1e-12))
+        target = belief.normalised(cavity @ link)
+        return belief.normalised(np.maximum(old, 1e-12) ** (1 - damping) * np.maximum(target, 1e-12) ** damping)
+
+    for _ in range(rounds):
+        for v in before[:0:-1]:
+            to_parent[v] = moved(to_parent[v], passed(v), to_child[v], belief.SELFED.T)
+        for v in before:
+            b = passed(v)
+            for c in kids[v]:
+                to_child[c] = moved(to_child[c], b, to_parent[c], belief.SELFED)
+    return [passed(v) for v in range(n)]
+
+
+@pytest.mark.parametrize("up", [[-1] + [0] * 12, [-1, 0, 0, 1, 1, 2, 3, 3] + [4] * 9, [-1, 0, 1, 2]])
+@pytest.mark.parametrize("damping", [0.5, 0.3])
+def test_belief_of_levels_equals_belief_of_taxa(up, damping, monkeypatch):
+    rng, m = np.random.default_rng(3), 15
+    monkeypatch.setattr(belief, "GROUP_CELLS", 5 * m)
+    observed = [None if rng.random() < 0.3 else (np.sort(rng.choice(m, 4, replace=False)), rng.random((4, 3))) for _ in up]
+    start = [np.array([0.7, 0.1, 0.2]) if p < 0 else np.full(3, 1 / 3) for p in up]
+    meioses, rates = [3 + (v > 0) for v in range(len(up))], rng.random(m - 1) * 0.2
+    fam = belief.Family(up, meioses, observed, start, start, rates)
+    assert fam.run(4, 0.0, damping) == 4
+    want = plain_family(up, meioses, observed, start, rates, 4, damping)
+    got = dict(fam.posteriors())
+    assert all(np.allclose(got[v], want[v], atol=1e-9) for v in range(len(up)))
 
 
 def test_pedigree_trees():
