@@ -38,26 +38,28 @@ def unit_bounds(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
 
 
 def whole_units(batches: Iterator[pa.RecordBatch], keys: list[str], cells: int = CELLS) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``cells`` rows that never divide a unit."""
-    held: list[pa.RecordBatch] = []
+    """Batches of about ``cells`` rows that never divide a unit. A long unit is joined
+    once, at its end."""
+    held: list[pa.RecordBatch] = []  # whole units, then the open one
     rows = 0
 
-    def joined() -> pa.RecordBatch:
-        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
     for b in batches:
         if not len(b):
             continue
+        if held and rows >= cells:
+            # does the unit that is open go on in this batch, and does it end there?
+            edge = pa.Table.from_batches([held[-1].slice(len(held[-1]) - 1), b]).combine_chunks().to_batches()[0]
+            end = int(unit_bounds(edge, keys)[1]) - 1
+            if end < len(b):
+                yield joined([*held, *([b.slice(0, end)] if end else [])])
+                held, rows, b = [], 0, b.slice(end)
         held.append(b)
         rows += len(b)
-        if rows >= cells:
-            whole = joined()
-            last = int(unit_bounds(whole, keys)[-2])
-            held, rows = [whole.slice(last)], len(whole) - last
-            if last:
-                yield whole.slice(0, last)
     if held:
-        yield joined()
+        yield joined(held)
 
 
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import design as designs
 from ..functions.emissions import hard_call
 from ..functions.genotype import call_gt
 from ..operators import calibrate, callers, interpolate, maps, segments, simulate, thinning
 from ..sources import readers, writers
+from . import files
 from .views import bin_genotypes, calls, obs, panel
 
 DESIGN = "BC2S3"
@@ -131,6 +133,11 @@ def sweep_lbimpute(spark, d):
     return callers.caller_sweep(obs(spark, d), "lbimpute", [2e5, 1e6]).select("name", "chr", "start_bp", "end_bp", "state", "recombdist")
 
 
+@query
+def sweep_nnil(spark, d):
+    return callers.caller_sweep(calls(spark, d).drop("n_ref", "n_alt"), "nnil", [0.001, 0.05], design=DESIGN).select("name", "chr", "start_bp", "end_bp", "state", "rrate")
+
+
 @query
 def gap_fill(spark, d):
     return _states(segments.fill_gaps(calls(spark, d).withColumnRenamed("g", "state")))
@@ -176,23 +183,30 @@ def data_parameters(spark, d):
 
 @query
 def pair_r2(spark, d):
-    return thinning.pairwise_distance(bin_genotypes(spark, d), "r2", per_chr=True)
+    return thinning.pairwise_distance(bin_genotypes(spark, d), "r2", max_markers=thinning.HARD_CAP, per_chr=True)
 
 
 @query
 def pair_mi(spark, d):
-    return thinning.pairwise_distance(bin_genotypes(spark, d), "mi", per_chr=True).withColumn("value", F.round(F.col("value") + 0.0, 8))
+    return thinning.pairwise_distance(bin_genotypes(spark, d), "mi", max_markers=thinning.HARD_CAP, per_chr=True).withColumn("value", F.round(F.col("value") + 0.0, 8))
 
 
 @query
 def pair_vi(spark, d):
-    return thinning.pairwise_distance(bin_genotypes(spark, d), "vi", "bits", per_chr=True).withColumn("value", F.round(F.col("value") + 0.0, 8))
+    return thinning.pairwise_distance(bin_genotypes(spark, d), "vi", "bits", max_markers=thinning.HARD_CAP, per_chr=True).withColumn("value", F.round(F.col("value") + 0.0, 8))
 
 
 def _bins(spark, d) -> DataFrame:
     return bin_genotypes(spark, d).select("chr", "marker", F.col("bin").cast("double").alias("pos")).distinct()
 
 
+@query
+def position_distance_all(spark, d):
+    """Markers of 5,000 parts; pairs of different chromosomes are infinitely far."""
+    markers = obs(spark, d).selectExpr("chr", "chr * 1000000 + pos DIV 50000000 AS marker", "CAST(pos DIV 50000000 AS DOUBLE) AS pos").distinct()
+    return thinning.position_distance(markers, max_markers=thinning.HARD_CAP)
+
+
 @query
 def position_distance_within(spark, d):
     return thinning.position_distance(_bins(spark, d), within=3.0)
@@ -201,13 +215,14 @@ def position_distance_within(spark, d):
 @query
 def independent_markers(spark, d):
     markers = _bins(spark, d)
-    return thinning.select_independent(markers, thinning.position_distance(markers, within=3.0), 3.0, "distance").where("set = 0").select("chr", F.col("marker").cast("long").alias("marker"))
+    return thinning.select_independent(markers, thinning.position_distance(markers, within=3.0), 3.0, "distance", max_markers=thinning.HARD_CAP).where("set = 0").select("chr", F.col("marker").cast("long").alias("marker"))
 
 
 @query
 def independent_r2(spark, d):
     geno = bin_genotypes(spark, d)
-    return thinning.select_independent(_bins(spark, d), thinning.pairwise_distance(geno, "r2", per_chr=True), 0.05, n_runs=5)
+    related = thinning.pairwise_distance(geno, "r2", max_markers=thinning.HARD_CAP, per_chr=True, least=0.05)
+    return thinning.select_independent(_bins(spark, d), related, 0.05, n_runs=5, max_markers=thinning.HARD_CAP)
 
 
 def _targets(spark, d) -> DataFrame:
@@ -243,6 +258,19 @@ def _pedigree(spark, d) -> DataFrame:
     return lines.unionByName(roots)
 
 
+@query
+def design_priors(spark, d):
+    """Expected genotypes of a design per supplier: backcrosses and selfings by its nation."""
+    rows = []
+    for k in range(30):
+        name = f"BC{k % 5}S{k // 5}"
+        p, (n_bc, n_self) = designs.breeding_prior(name), designs.parse_design(name)
+        rows.append((k, name, p["REF"], p["HET"], p["ALT"], float(designs.founder_prior(name)[0]), float(designs.founder_prior(name)[1]), designs.expected_het(1 - 0.5**n_self), n_bc))
+    table = spark.createDataFrame(rows, "k int, design string, p_ref double, p_het double, p_alt double, founder_ref double, founder_het double, het double, n_bc int")
+    nation = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey", "CAST(s_nationkey % 30 AS INT) AS k")
+    return nation.join(table, "k").drop("k")
+
+
 @query
 def family_of_line(spark, d):
     return readers.with_family(obs(spark, d).groupBy("name").agg(F.count(F.lit(1)).alias("markers")), _pedigree(spark, d))
@@ -330,12 +358,14 @@ def map_positions(spark, d):
 @query
 def calibrated_rate(spark, d):
     sim = segments.donor_blocks(callers.call_states(obs(spark, d), "bbnil", design=DESIGN, rrate=0.005)).select("mb")
-    return calibrate.calibrate_r(obs(spark, d), sim, [0.001, 0.005, 0.02], design=DESIGN)
+    best = calibrate.calibrate_r(obs(spark, d), sim, [0.001, 0.005, 0.02], design=DESIGN)
+    return best.select("value", F.round("d", 9).alias("d"), "n_blocks", F.round("median_mb", 9).alias("median_mb"), "at_grid_edge")
 
 
 @query
 def parameter_grid(spark, d):
-    return calibrate.optimize_parameters(calls(spark, d), {"nir": (0.01, 0.1), "germ": (0.01,), "gert": (0.05,), "p": (0.5,), "r_multiplier": (1.0, 2.0)})
+    m = calibrate.optimize_parameters(calls(spark, d), {"nir": (0.01, 0.1), "germ": (0.01,), "gert": (0.05,), "p": (0.5,), "r_multiplier": (1.0, 2.0)})
+    return m.select("combo", "nir", "germ", "gert", "p", "r_multiplier", *[F.round(c, 8).alias(c) for c in m.columns if c.startswith(("pct", "mean", "sd"))])
 
 
 @query
@@ -344,4 +374,4 @@ def introgressions(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_found)
+    return {**_found, **files.QUERIES}

@@ -8,7 +8,7 @@ from ..functions.design import state_frequencies
 from ..functions.emissions import NANO, fixed
 from ..functions.specs import CountEmission, GenotypeEmission, GeometricDuration, RigidDuration, transition
 from .queries import DESIGN
-from .views import BIN_GENO, CALLS, OBS_SQL, PANEL, SPACING, duck
+from .views import BIN_GENO, CALLS, OBS_SQL, PANEL, POOLED, SPACING, duck
 
 COUNT, GT = CountEmission(), GenotypeEmission()
 PRIORS = state_frequencies(DESIGN)
@@ -29,8 +29,8 @@ def _count_logs() -> list[str]:
     return [f"CASE WHEN n = 0 THEN 0 ELSE CAST(round({NANO} * ({choose} + {lbeta(f'(a + {t * c!r})', f'(n - a + {(1 - t) * c!r})')} - {lbeta(repr(t * c), repr((1 - t) * c))})) AS BIGINT) END" for t in COUNT.theta]
 
 
-def _call_logs() -> list[str]:
-    return ["CASE g " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(row)) + " END" for row in _ints(GT.matrix()).tolist()]
+def _call_logs(emission: GenotypeEmission = GT) -> list[str]:
+    return ["CASE g " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(row)) + " END" for row in _ints(emission.matrix()).tolist()]
 
 
 def _pick(values: list[str], last: bool) -> tuple[str, str]:
@@ -190,6 +190,74 @@ def _binomial(p: float) -> str:
     return f"(k * ln({p}) + (m - k) * ln({1 - p}))"
 
 
+_POOL = f"pool AS ({duck(POOLED)}), gt AS (SELECT *, CAST({CALLS} AS INT) AS g FROM pool)"
+#: Every site of every sample, as files of a line a site have it.
+_GRID = f"{_POOL}, site AS (SELECT DISTINCT chr, pos FROM pool), nm AS (SELECT DISTINCT name FROM pool), grid AS (SELECT name, chr, pos FROM site CROSS JOIN nm)"
+_KEPT = """SELECT * FROM (SELECT name, chr, pos, 'A' AS ref, 'C' AS alt, CAST(CAST(floor(pos / 10000.0 % 50) AS INT) AS DOUBLE) AS qual, CASE coalesce(g, 3) WHEN 0 THEN '0/0' WHEN 1 THEN '0|1' WHEN 2 THEN '1/1' ELSE './.' END AS cell,
+  avg(CASE WHEN coalesce(g, 3) = 3 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY chr, pos) AS gone FROM grid LEFT JOIN gt USING (name, chr, pos) WHERE pos % 7 <> 0 AND chr IN (1, 2, 3, 5))"""
+
+
+def _file_sql(bbnil: str) -> dict[str, str]:
+    reads = f"WITH {_GRID} SELECT name, chr, pos, coalesce(n_ref, 0) AS n_ref, coalesce(n_alt, 0) AS n_alt FROM grid LEFT JOIN pool USING (name, chr, pos)"
+    calls = f"WITH {_GRID} SELECT name, chr, pos, coalesce(g, 3) AS g FROM grid LEFT JOIN gt USING (name, chr, pos)"
+    known = f"{_POOL}, st AS (SELECT name, chr, pos, g AS state FROM gt WHERE g <> 3)"
+    fam = "'F' || s_nationkey AS family, 'S' || s_suppkey AS taxon"
+    none = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("contribution1", "contribution2", '"F"'))
+    return {
+        "file_counts_tsv": duck(POOLED), "file_vcf_ad": reads, "file_vcf_ad_biallelic": f"{reads} WHERE pos % 7 <> 0", "file_vcf_gt": calls, "file_hapmap": calls, "file_plink": calls,
+        "file_vcf_gt_samples": f"{calls} WHERE name IN ('NO', 'RF')",
+        "file_vcf_filtered": f"WITH {_GRID} SELECT name, chr, pos, ref, alt, qual, cell FROM ({_KEPT}) WHERE qual >= 20 AND gone <= 0.5 AND name IN ('NO', 'RF')",
+        "file_pedigree_table": f"""SELECT {fam}, 'G' || s_nationkey AS parent1, CASE WHEN s_suppkey % 3 = 0 THEN 'B73' END AS parent2, CAST(0.75 AS DOUBLE) AS contribution1, CAST(0.25 AS DOUBLE) AS contribution2,
+  CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_suppkey % 4 AS DOUBLE) / 4 END AS "F" FROM supplier""",
+        "file_pedigree_fam": f"SELECT {fam}, 'G1' AS parent1, 'G2' AS parent2, {none} FROM supplier",
+        "file_segments_file": f"SELECT 'mosaic_spark' AS source, 'teo' AS donor, * FROM ({bbnil} {_segments(_STATES)})",
+        "file_imputed_vcf_file": f"WITH {known}, site AS (SELECT DISTINCT chr, pos FROM st), nm AS (SELECT DISTINCT name FROM st) SELECT name, chr, pos, coalesce(state, 3) AS g FROM site CROSS JOIN nm LEFT JOIN st USING (name, chr, pos)",
+        "file_results_files": f"""WITH {known} SELECT 'calls' AS file, count(*) AS n, CAST(sum(state) AS BIGINT) AS total FROM st UNION ALL SELECT 'summary', count(DISTINCT name), CAST(sum(state) AS BIGINT) FROM st
+UNION ALL SELECT 'markers', count(*), CAST(sum(pos) AS BIGINT) FROM (SELECT DISTINCT chr, pos FROM st) UNION ALL SELECT 'parameters', 2, 0""",
+    }
+
+
+def _grid_sql() -> str:
+    """Every combination's decoding and its metrics."""
+    parts = []
+    for k, (nir, times) in enumerate(((0.01, 1.0), (0.01, 2.0), (0.1, 1.0), (0.1, 2.0))):
+        chain = _plain(transition(GeometricDuration(0.01 * times), 0.25, 0.05))
+        path = _decoded(_CALLS, "SELECT name, chr, pos, g FROM calls", _call_logs(GenotypeEmission(0.01, 0.05, 0.5, 0.15, nir)), *chain, last=True)
+        parts.append(f"SELECT {k} AS combo, CAST({nir} AS DOUBLE) AS nir, CAST({times} AS DOUBLE) AS r_multiplier, name, count(*) FILTER (st = 0) AS n0, count(*) FILTER (st = 1) AS n1, count(*) FILTER (st = 2) AS n2, count(*) AS n FROM ({path} SELECT * FROM path) GROUP BY name")
+    share = ", ".join(f"round(CAST(100 * sum(n{k}) AS DOUBLE) / sum(n), 8) AS pct_{s}" for k, s in enumerate(("ref", "het", "alt")))
+    return f"""SELECT combo, nir, CAST(0.01 AS DOUBLE) AS germ, CAST(0.05 AS DOUBLE) AS gert, CAST(0.5 AS DOUBLE) AS p, r_multiplier, {share}, round(avg(n1 / n), 8) AS mean_het_rate, round(avg(n2 / n), 8) AS mean_donor_rate,
+  round(stddev_pop(n1 / n), 8) AS sd_het_rate, round(stddev_pop(n2 / n), 8) AS sd_donor_rate, round(100.0 * count(*) FILTER (n1 = 0 AND n2 = 0) / count(*), 8) AS pct_samples_without_donor
+FROM ({' UNION ALL '.join(parts)}) GROUP BY combo, nir, r_multiplier"""
+
+
+def _rate_sql() -> str:
+    """Blocks of every rate's decoding against those of the middle one."""
+    cut = _BLOCKS[_BLOCKS.index("e AS (") :]
+    sizes = []
+    for r in (0.001, 0.005, 0.02):
+        path = _decoded(_OBS, _COUNT_ROWS, _count_logs(), *_geometric(r))
+        sizes.append(f"SELECT CAST({r} AS DOUBLE) AS value, mb FROM ({path}, st AS ({_STATES}), {cut} SELECT mb FROM blocks)")
+    return f"""WITH s AS MATERIALIZED ({' UNION ALL '.join(sizes)}), sim AS (SELECT mb FROM s WHERE value = 0.005),
+v AS (SELECT value, mb, sum(a) AS a, sum(b) AS b FROM (SELECT value, mb, 1 AS a, 0 AS b FROM s UNION ALL SELECT value, mb, 0, 1 FROM sim CROSS JOIN (SELECT DISTINCT value FROM s)) GROUP BY value, mb),
+g AS (SELECT value, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY value) - sum(b) OVER w / sum(b) OVER (PARTITION BY value)) AS g FROM v WINDOW w AS (PARTITION BY value ORDER BY mb)),
+k AS (SELECT value, max(g) AS d FROM g GROUP BY value), n AS (SELECT value, count(*) AS n_blocks, quantile_cont(mb, 0.5) AS median_mb FROM s GROUP BY value)
+SELECT value, round(d, 9) AS d, n_blocks, round(median_mb, 9) AS median_mb, value IN (0.001, 0.02) AS at_grid_edge FROM k JOIN n USING (value) ORDER BY d, value LIMIT 1"""
+
+
+#: Nodes in the order of their choice: most markers apart first, then by number. A chosen
+#: one strikes out those near it.
+_INDEPENDENT = f"""WITH RECURSIVE {_BIN}, m AS (SELECT DISTINCT chr, marker, bin FROM geno),
+w AS (SELECT a.chr, a.marker, a.bin, count(*) FILTER (abs(a.bin - b.bin) > 3) AS apart FROM m a JOIN m b ON a.chr = b.chr GROUP BY ALL),
+q AS (SELECT chr, list(bin ORDER BY apart DESC, marker) AS rest FROM w GROUP BY chr),
+r AS (SELECT chr, rest[1] AS bin, list_filter(rest, lambda x: abs(x - rest[1]) > 3) AS rest FROM q
+  UNION ALL SELECT chr, rest[1], list_filter(rest, lambda x: abs(x - rest[1]) > 3) FROM r WHERE len(rest) > 0)
+SELECT chr, CAST(chr * 1000000 + bin AS BIGINT) AS marker FROM r"""
+
+_DESIGNS = """WITH s AS (SELECT s_suppkey, s_nationkey % 30 % 5 AS b, s_nationkey % 30 // 5 AS m FROM supplier),
+t AS (SELECT *, pow(0.5, b + m) AS h, pow(0.5, b) * (1 - pow(0.5, m)) / 2 AS a FROM s)
+SELECT s_suppkey, 'BC' || b || 'S' || m AS design, 1 - h - a AS p_ref, h AS p_het, a AS p_alt, 1 - 2 * (a + h / 2) AS founder_ref, 2 * (a + h / 2) AS founder_het, pow(0.5, m) / 2 AS het, CAST(b AS INT) AS n_bc FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
     count, call, hard = _geometric(), _geometric(), _geometric()
     rigid = _rigid(transition(RigidDuration(2, 0.01), *PRIORS))
@@ -256,4 +324,14 @@ SELECT name, chr, CASE WHEN chr <= 3 THEN 'a' ELSE 'b' END AS track, start_bp /
         "family_of_line": f"""WITH {_OBS}, n AS (SELECT name, count(*) AS markers FROM obs GROUP BY name)
 SELECT n.name, n.markers, 'F' || s_nationkey AS family FROM n LEFT JOIN supplier ON 'S' || s_suppkey = n.name""",
     }
+    low = GenotypeEmission(0.08, 0.15, 0.5, 0.20, 0.02)
+    preset = _decoded(_CALLS, _CALL_ROWS, _call_logs(low), *_plain(transition(GeometricDuration(0.01), 0.25, 0.05)), last=True)
+    out |= _file_sql(bbnil)
+    out |= {
+        "sweep_nnil": _sweep([(_decoded(_CALLS, "SELECT name, chr, pos, g FROM calls", _call_logs(), *_geometric(r), last=True), r) for r in (0.001, 0.05)], "rrate"),
+        "position_distance_all": f"""WITH {_OBS}, m AS (SELECT DISTINCT chr, chr * 1000000 + pos // 50000000 AS marker, CAST(pos // 50000000 AS DOUBLE) AS pos FROM obs)
+SELECT a.marker AS i, b.marker AS j, CASE WHEN a.chr = b.chr THEN abs(a.pos - b.pos) ELSE CAST('Infinity' AS DOUBLE) END AS value FROM m a JOIN m b ON a.marker < b.marker""",
+        "independent_markers": _INDEPENDENT, "design_priors": _DESIGNS, "parameter_grid": _grid_sql(), "calibrated_rate": _rate_sql(),
+        "introgressions": f"SELECT 'mosaic_spark' AS source, CAST(NULL AS VARCHAR) AS donor, * FROM ({preset} {_segments(_STATES)})",
+    }
     return out

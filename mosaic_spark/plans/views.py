@@ -42,6 +42,15 @@ FROM (SELECT CAST(l_linenumber AS INT) AS chr, l_partkey {div} 100 AS bin, l_lin
 """
 
 
+#: Reads pooled by return flag and line status: a handful of samples at any size.
+POOLED = f"""
+SELECT name, chr, pos, CAST(r AS INT) AS n_ref, CAST(a AS INT) AS n_alt FROM (
+  SELECT concat(l_returnflag, l_linestatus) AS name, CAST(l_linenumber AS INT) AS chr, CAST((l_partkey + 1) * {SPACING} AS {{pos}}) AS pos,
+    SUM(CAST(l_quantity AS INT) % 3) AS r, SUM(CAST(ROUND(l_discount * 100) AS INT) % 3) AS a
+  FROM {{lineitem}} GROUP BY concat(l_returnflag, l_linestatus), CAST(l_linenumber AS INT), l_partkey) q
+"""
+
+
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return spark.sql(text.format(lineitem="{lineitem}", div="DIV", pos="BIGINT"), lineitem=lineitem)
@@ -55,6 +64,10 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, PANEL)
 
 
+def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, POOLED)
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs(spark, sf_dir).selectExpr("*", f"CAST({CALLS} AS INT) AS g")
 
