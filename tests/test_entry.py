@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from mosaic_spark.plans import sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def test_names_agree():
     assert set(entry.oracle_sql()) <= set(found) and len(found) > 40
 
 
-@pytest.mark.parametrize("name", ["viterbi_bbnil", "rigid_atlas", "genotype_hwe", "pair_r2", "interp_round"])
+@pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_against_sql(spark, name):
     import os
 
