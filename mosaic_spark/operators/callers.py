@@ -369,16 +369,15 @@ def _bin_states(data: DataFrame, bin_size, method, priors, donor, joint, weighte
     def kernel(batch):
         bounds = unit_bounds(batch, ["name"])
         chrom = column(batch, "chr")
-        state = np.zeros(len(batch), np.int32)
-        for i, j in zip(bounds[:-1], bounds[1:]):
-            if pooled:
-                state[i:j] = bins.smooth(column(batch, "label")[i:j], chrom[i:j], start)
-                continue
-            share, n = column(batch, "alt_freq")[i:j], column(batch, "ninf")[i:j]
-            if method == "gauss":
-                state[i:j] = bins.gaussian_states(share, chrom[i:j], start)
-            else:
-                state[i:j] = bins.smooth(bins.cluster_states(np.clip(share * (n / n.mean()), 0, 1), method), chrom[i:j], start)
+        if method == "gauss":
+            state = bins.gaussian_batch(column(batch, "alt_freq"), chrom, bounds, start)
+        elif pooled:
+            state = bins.smooth_batch(column(batch, "label"), chrom, bounds, start)
+        else:
+            share, n, labels = column(batch, "alt_freq"), column(batch, "ninf"), np.zeros(len(batch), np.int64)
+            for i, j in zip(bounds[:-1], bounds[1:]):
+                labels[i:j] = bins.cluster_states(np.clip(share[i:j] * (n[i:j] / n[i:j].mean()), 0, 1), method)
+            state = bins.smooth_batch(labels, chrom, bounds, start)
         return append(batch, cols, state=pa.array(state, pa.int32()))
 
     return by_unit(rows, ["name"], ["chr", "pos"], [*cols, *value], kernel, schema)

@@ -213,17 +213,54 @@ def test_tag_filter():
 
 def test_haplotype_clusters():
     pool = g(*[[0, 0, 2, 2, 0, 0]] * 3, *[[2, 2, 0, 0, 2, 2]] * 2, [3] * 6)
-    w = haplotypes.Clusters.of(pool)
-    w.sort()
-    assert [len(c.members) for c in w.items] == [4, 3] and [c.score for c in w.items] == [3.5, 2.5]
+    w = haplotypes.Window(pool)
+    assert w.sizes.tolist() == [4, 3] and w.scores.tolist() == [3.5, 2.5]
     a, b = [0] * 10, [0] * 9 + [2]
-    near = haplotypes.Clusters.of(g(a, a, a, b, b, b))
-    assert len(near.items) == 2
-    near.merge(2)
-    assert [len(c.members) for c in near.items] == [6]
+    near = haplotypes.Window(g(a, a, a, b, b, b))
+    assert len(near.member) == 2
+    assert near.join_near(2).sizes.tolist() == [6]
     assert haplotypes.distance(np.array([0, 1, 3, 2]), np.array([2, 0, 0, 2])) == 3
 
 
+def test_members_move_up_and_mixed_clusters_go():
+    a, b = [0] * 8, [2] * 8
+    part = [0, 0, 3, 3, 3, 3, 3, 3]
+    w = haplotypes.Window(g(a, a, part, b, b, [1] * 8)).draw_up(0)
+    assert w.sizes.tolist() == [3, 2, 1] and w.without_het(5).sizes.tolist() == [3, 2]
+    calls = np.array([[3, 1, 0], [0, 1, 0], [2, 1, 0]])
+    assert haplotypes.consensus(calls, "majority").tolist() == [0, 3, 3]
+    assert haplotypes.consensus(calls, "unanimous").tolist() == [3, 3, 3]
+    assert haplotypes.consensus(calls, "censored").tolist() == [0, 0, 3]
+
+
+def test_candidates_go_to_the_parent_they_match():
+    p, q = np.zeros(100, int), np.full(100, 2)
+    near_p, between = p.copy(), p.copy()
+    near_p[[3, 50]] = 2
+    between[:12] = 2
+    got = haplotypes.sides([p[None], q[None]], np.stack([near_p, q, between]), True)
+    assert [len(x) for x in got] == [2, 1]
+    a, c = haplotypes.parent_calls([np.array([[0, 1, 0, 3]]), np.array([[2, 2, 0, 2]])])
+    assert a.tolist() == [0, 3, 3, 3] and c.tolist() == [2, 2, 3, 2]
+    a, c = haplotypes.parent_calls([np.array([[0, 0, 0], [0, 2, 3]]), np.array([[2, 2, 0]])])
+    assert a.tolist() == [0, 3, 3] and c.tolist() == [2, 3, 3]
+
+
+def test_gaussian_batch_equals_single_samples():
+    rng, start = np.random.default_rng(11), np.array([0.86, 0.03, 0.11])
+    parts, chroms = [], []
+    for k, n in enumerate((120, 3, 60, 1, 200)):
+        x = np.abs(rng.normal(0.02, 0.01, n))
+        x[n // 3 : n // 2] += 0.45 * (k % 3)
+        parts.append(x)
+        chroms.append(np.sort(rng.integers(1, 4, n)))
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    got = bins.gaussian_batch(np.concatenate(parts), np.concatenate(chroms), bounds, start)
+    for i, j, x, c in zip(bounds[:-1], bounds[1:], parts, chroms):
+        assert (got[i:j] == bins.gaussian_states(x, c, start)).all()
+    assert got.any()
+
+
 def family(rng, taxa=120, sites=350):
     a, c = rng.integers(0, 2, sites) * 2, None
     c = 2 - a
