@@ -2,11 +2,15 @@
 
 Every scan partition packs its own stream, so nothing is shuffled and a hot
 source or copy group costs no more than its bytes. A document's whole windows
-stand alone. Its remainder is routed to a power-of-two context tier. Long windows
-open with the longest remainder and fill their gap from the tiers below, longest
-fit first; where nothing fits, the shortest longer piece is cut at the gap. What
-is left when a partition ends becomes shorter sequences of exact power-of-two
-length. Sequences are dealt in order to step groups of equal token count.
+stand alone. Its remainder is routed to the context tier that holds it: 256, 512,
+1,024 or 2,048 tokens. Each tier is packed into sequences of its own size, the long
+ones first: a sequence opens with the longest piece of its tier and its gap is
+filled from the tiers below, longest fit first; where nothing fits, the shortest
+longer piece is cut at the gap. What is left when a partition ends becomes sequences
+of exact power-of-two length, so nothing is padded.
+
+Sequences of one tier that make up a window's tokens are a row. Rows are dealt to
+open step groups of equal tokens so that all groups hold alike many of each tier.
 
 State of a task: one batch of ids and a pool of at most ``pool_tokens``."""
 
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 
 LIMIT = 2048
 END_ID = 1
-#: Windows of LIMIT tokens that a step group holds.
-STEP_WINDOWS = 8
+#: Rows of LIMIT tokens that a step group holds, and groups that are open at a time.
+STEP_WINDOWS, OPEN_STEPS = 8, 8
+#: The shortest tier is this part of the longest.
+SHORTEST = 8
 POOL_TOKENS = 1 << 19
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step long"
 
@@ -34,13 +40,43 @@ def tier_of(length: int, limit: int = LIMIT) -> int:
     return min(limit, 1 << (length - 1).bit_length())
 
 
+class Steps:
+    """Deals rows of ``limit`` tokens to step groups, some of which are open at a time."""
+
+    def __init__(self, first: int, limit: int) -> None:
+        self.next, self.limit = first, limit
+        self.rows: dict[int, list[int]] = {}  # tier -> [group, tokens left in its open row]
+        self._open()
+
+    def _open(self) -> None:
+        self.groups = list(range(self.next, self.next + OPEN_STEPS))
+        self.next += OPEN_STEPS
+        self.room, self.held = dict.fromkeys(self.groups, STEP_WINDOWS), {}
+
+    def of(self, length: int) -> int:
+        """The group of the next sequence of ``length`` tokens."""
+        row = self.rows.get(length)
+        if row is None or not row[1]:
+            if not self.groups:
+                self._open()
+            group = min(self.groups, key=lambda g: (self.held.get((g, length), 0), -self.room[g], g))
+            self.held[group, length] = self.held.get((group, length), 0) + 1
+            self.room[group] -= 1
+            if not self.room[group]:
+                self.groups.remove(group)
+            row = self.rows[length] = [group, self.limit]
+        row[1] -= length
+        return row[0]
+
+
 class Packer:
     """Streams (doc key, ids) in and placed pieces out."""
 
     def __init__(self, first_sequence: int, limit: int = LIMIT, pool_tokens: int = POOL_TOKENS) -> None:
         self.limit, self.pool_tokens = limit, pool_tokens
-        self.sequence, self.tokens, self.first = first_sequence, 0, first_sequence
-        self.tiers: dict[int, list] = {1 << i: [] for i in range(limit.bit_length())}
+        self.sequence, self.steps = first_sequence, Steps(first_sequence, limit)
+        self.held: dict[int, list] = {1 << i: [] for i in range(limit.bit_length())}
+        self.tiers = [t for t in self.held if t >= max(1, limit // SHORTEST)][::-1]
         self.pooled, self.ties, self.out = 0, 0, []
 
     def add(self, doc, ids: np.ndarray) -> None:
@@ -50,60 +86,63 @@ class Packer:
         if whole < len(ids):
             self._pool((doc, whole, ids[whole:].copy(), len(ids)))
         if self.pooled >= self.pool_tokens:
-            self._windows(self.pool_tokens // 4)
+            self._pack(self.pool_tokens // 4)
 
     def finish(self) -> None:
         """Packs all that is left; the tail becomes exact power-of-two sequences."""
-        self._windows(self.limit)
+        self._pack(0)
         while self.pooled:
             self._fill(1 << (self.pooled.bit_length() - 1))
 
     def _pool(self, piece) -> None:
-        # length, then arrival, orders a tier: no comparison reaches the arrays
+        # length, then arrival, orders a list: no comparison reaches the arrays
         self.ties += 1
-        insort(self.tiers[tier_of(len(piece[2]), self.limit)], (len(piece[2]), self.ties, piece))
+        insort(self.held[tier_of(len(piece[2]), self.limit)], (len(piece[2]), self.ties, piece))
         self.pooled += len(piece[2])
 
+    def _pack(self, keep: int) -> None:
+        """Packs the tiers, longest first, while more than ``keep`` tokens wait."""
+        for tier in self.tiers:
+            while self.held[tier] and self.pooled > keep and self.pooled >= tier:
+                n, _, piece = self.held[tier].pop()
+                self.pooled -= n
+                self._fill(tier, piece)
+
     def _take(self, most: int):
         """The longest pooled piece of at most ``most`` tokens, else the shortest longer one cut there."""
-        tier = tier_of(most, self.limit)
-        while tier:
-            held = self.tiers[tier]
+        size = tier_of(most, self.limit)
+        while size:
+            held = self.held[size]
             if at := bisect_right(held, (most, self.ties + 1)):
                 n, _, piece = held.pop(at - 1)
                 self.pooled -= n
                 return piece
-            tier >>= 1
-        tier = tier_of(most, self.limit)
-        while not self.tiers[tier] or self.tiers[tier][-1][0] <= most:
-            tier <<= 1
-        held = self.tiers[tier]
+            size >>= 1
+        size = tier_of(most, self.limit)
+        while not self.held[size] or self.held[size][-1][0] <= most:
+            size <<= 1
+        held = self.held[size]
         n, _, (doc, start, ids, total) = held.pop(bisect_right(held, (most, self.ties + 1)))
         self.pooled -= n
         self._pool((doc, start + most, ids[most:], total))
         return doc, start, ids[:most], total
 
-    def _fill(self, length: int) -> None:
-        pieces, left = [], length
+    def _fill(self, length: int, first=None) -> None:
+        pieces = [first] if first else []
+        left = length - sum(len(p[2]) for p in pieces)
         while left:
             piece = self._take(left)
             pieces.append(piece)
             left -= len(piece[2])
         self._emit(pieces)
 
-    def _windows(self, keep: int) -> None:
-        while self.pooled >= max(keep, self.limit):
-            self._fill(self.limit)
-
     def _emit(self, pieces) -> None:
         length = sum(len(p[2]) for p in pieces)
-        step = (self.first >> 33 << 33) + self.tokens // (STEP_WINDOWS * self.limit)
-        at = 0
+        step, at = self.steps.of(length), 0
         for doc, start, ids, total in pieces:
             self.out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.sequence, at, length, step))
             at += len(ids)
         self.sequence += 1
-        self.tokens += length
 
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None, limit: int = LIMIT, pool_tokens: int = POOL_TOKENS) -> DataFrame:
@@ -111,7 +150,8 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary
     sequence_id, offset, tier (tokens of its sequence) and step (step group).
 
     Null and empty texts are the end id alone. A document longer than ``limit``
-    spans several sequences. Rows that repeat an id are packed each. ids and the
+    spans several sequences. Rows that repeat an id, or have none, are packed each; other
+    columns of ``docs`` are not read, whatever their names. ids and the
     cuts of one partition depend on its rows alone, so a lost task repeats its
     output. An empty table gives an empty result."""
     if limit & (limit - 1):
