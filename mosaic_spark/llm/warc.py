@@ -41,11 +41,12 @@ def base32_sha1(payload: Column) -> Column:
 def _with_reference(pages: DataFrame, page_id: str, html: str, least_bytes: int) -> DataFrame:
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload").cast("binary"))})
-    groups = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("keep"))
-    rows = rows.join(groups, ["payload_digest", "payload_bytes"])
-    again = (F.col("payload_bytes") >= least_bytes) & (F.col("page_id") < F.col("keep"))
-    return rows.withColumn("refers_to", F.when(again, F.col("keep")))
+    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload").cast("binary")), "content": F.unhex(F.sha2(F.col("payload").cast("binary"), 256))})
+    # payloads are equal by SHA-256 and length; who refers to whom is found without them
+    named = rows.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least_bytes)).select("page_id", "content", "payload_bytes")
+    groups = named.groupBy("content", "payload_bytes").agg(F.max("page_id").alias("keep"), F.min("page_id").alias("least")).where("least < keep").drop("least")
+    refers = named.join(groups, ["content", "payload_bytes"]).where("page_id < keep").select("page_id", "content", F.col("keep").alias("refers_to")).distinct()
+    return rows.join(refers, ["page_id", "content"], "left").drop("content")
 
 
 #: The shortest gzip member, of no bytes: written between records as the text sink's
