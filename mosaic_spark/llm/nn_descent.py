@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, whole_groups
+from .common import Tables, components, delete, whole_groups
 
 COSINE = 0.95
 NEIGHBOURS, ORDERS, REACH = 12, 12, 6
@@ -231,17 +231,20 @@ def _counts(cosine: float):
 def link_graph(nodes: DataFrame, cosine: float = COSINE, k: int = NEIGHBOURS, orders: int = ORDERS, recall: float = 0.999, most_rounds: int = 4, seed: int = 11) -> tuple[DataFrame, float]:
     """((id, component) of nodes with a link, audited recall) of nodes (id, v). An audit
     below ``recall`` after all attempts, or lists still full of links, is an error."""
+    tables = Tables(nodes.sparkSession, "link-graph")
     graph, comp, links, share, attempt, full = None, None, None, 0.0, 0, False
     while attempt < most_rounds:
         known = nodes.select("id", "v") if comp is None else nodes.select("id", "v").join(comp, "id", "left")
-        known = cut(known.select("id", "v", (F.col("id") if comp is None else F.coalesce("component", "id")).alias("c")))
+        known = tables.put(known.select("id", "v", (F.col("id") if comp is None else F.coalesce("component", "id")).alias("c")))
         rows = known.mapInArrow(_signatures(seed + attempt, orders << attempt), "o long, key long, id long, v binary, c long")
         rows = rows.repartitionByRange("o", "key", "id").sortWithinPartitions("o", "key", "id")
         seeds = rows.mapInArrow(_neighbours(REACH, 4), "a long, b long, s double")
-        graph = cut(_best(seeds if graph is None else seeds.unionByName(graph.select("a", "b", "s")), k, comp))
+        graph = tables.put(_best(seeds if graph is None else seeds.unionByName(graph.select("a", "b", "s")), k, comp))
         for _ in range(ROUNDS):
-            last, graph = graph, cut(_round(graph, known, k, comp))
-            if graph.join(last, ["a", "b"], "left_anti").count() <= CHANGED * graph.count():
+            last, graph = graph, tables.put(_round(graph, known, k, comp))
+            settled = graph.join(last, ["a", "b"], "left_anti").count() <= CHANGED * graph.count()
+            tables.drop(last)
+            if settled:
                 break
         new = graph.where(F.col("s") >= cosine).select("a", "b")
         full = bool(graph.where("out").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least")).where((F.col("n") >= k) & (F.col("least") >= cosine)).limit(1).count())
@@ -250,6 +253,7 @@ def link_graph(nodes: DataFrame, cosine: float = COSINE, k: int = NEIGHBOURS, or
         share = _audit(nodes, comp, cosine, AUDIT, seed + attempt)
         attempt += 1
         if share >= recall and not full:
+            delete(nodes.sparkSession, [tables.path])
             return comp, share
     raise RuntimeError(f"link_graph: audited recall {share:.5f} of {recall} after {attempt} attempts; full neighbour lists: {full}")
 
@@ -259,24 +263,27 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     Vectors that are null, empty, zero, or hold null or non-finite components link
     with nothing; vectors of different lengths do not link. Equal vectors link with
-    each other. Rows that repeat an id count each as a vector. A null id ranks last.
-    An empty table gives an empty result."""
+    each other. A distinct vector is a node of its own, whatever its rows' ids: rows that
+    repeat an id count each as a vector. A null id ranks last; a component of such rows
+    alone has a null id. An empty table gives an empty result."""
+    tables = Tables(vectors.sparkSession, "embedding-dedup")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
-    base = cut(rows.mapInArrow(_unit, "vec_id long, v binary, name binary"))
-    valid = base.where("name IS NOT NULL").withColumn("r", F.coalesce("vec_id", F.lit(2**63 - 1)))
-    classes = valid.groupBy("name").agg(F.min(F.struct("r", "v")).alias("x"), F.count(F.lit(1)).alias("m"))
-    nodes = cut(classes.select("name", F.col("x.r").alias("id"), "x.v", "m"))
-    comp, _ = link_graph(nodes, cosine)
-    member = cut(nodes.join(comp, "id").select("id", "component", "v", "m"))
-    size = member.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    member = member.join(size, "component")
-    own = member.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("base", F.lit(0))
-    every = member.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("base", F.lit(1))
+    base = tables.put(rows.mapInArrow(_unit, "vec_id long, v binary, name binary"))
+    classes = base.where("name IS NOT NULL").groupBy("name").agg(F.min("vec_id").alias("least"), F.first("v").alias("v"), F.count(F.lit(1)).alias("m"))
+    nodes = tables.put(classes.select("name", F.monotonically_increasing_id().alias("id"), "least", "v", "m"))
+    comp, _ = link_graph(nodes.select("id", "v"), cosine)
+    member = tables.put(nodes.join(comp, "id").select("id", "component", "v", "m", "least"))
+    size = member.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.min("least").alias("first"))
+    blocked = member.select("id", "component", "v", "m").join(size.select("component", "parts"), "component")
+    own = blocked.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("base", F.lit(0))
+    every = blocked.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("base", F.lit(1))
     blocks = own.unionByName(every).select(F.xxhash64("component", "p").alias("part"), "base", "id", "v", "m")
     counts = blocks.repartition("part").sortWithinPartitions("part", "base", "id").mapInArrow(_counts(cosine), "id long, links long")
-    named = nodes.join(comp, "id", "left").join(counts, "id", "left").select(F.col("name").alias("__name"), F.coalesce("component", "id").alias("component"), F.coalesce("links", "m").alias("links"))
+    linked = member.select("id", "component").join(size.select("component", "first"), "component").join(counts, "id").select("id", "first", "links", F.lit(True).alias("in"))
+    named = nodes.select("id", "name", "least", "m").join(linked, "id", "left")
+    named = named.select(F.col("name").alias("__name"), F.when(F.col("in"), F.col("first")).otherwise(F.col("least")).alias("component"), F.coalesce("links", "m").alias("links"))
     out = base.select("vec_id", "name").join(named, F.col("name") == F.col("__name"), "left")
-    out = out.select("vec_id", F.coalesce(F.col("links") - 1, F.lit(0)).cast("long").alias("n_links"), F.when(F.col("name").isNull(), F.col("vec_id")).otherwise(F.when(F.col("component") < 2**63 - 1, F.col("component"))).alias("component_id"))
+    out = out.select("vec_id", F.coalesce(F.col("links") - 1, F.lit(0)).cast("long").alias("n_links"), F.when(F.col("name").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -227,6 +227,24 @@ def test_embedding_audit_counts_small_groups(spark):
     assert nn_descent._audit(nodes, found, 0.95, nn_descent.AUDIT) < 0.6
 
 
+def test_embedding_rows_that_share_ids(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = [1.0, 0.1, 0.0]
+    data = [(1, a, "x"), (1, b, "y"), (None, near, "z"), (None, [0.0, 0.0, 1.0], "u"), (2, near, "v")]
+    got = nn_descent.embedding_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>, component_id string"))
+    assert rows(got) == sorted([(1, 2, 1, True), (1, 0, 1, True), (None, 2, 1, False), (None, 0, None, True), (2, 2, 1, False)], key=repr)
+
+
+def test_embedding_threshold_tie(spark):
+    """Cosine 0.95 to the last bit links, the next smaller one does not."""
+    data = [(1, [1.0, 0.0]), (2, [0.95, float(np.sqrt(1 - 0.95**2))]), (3, [-1.0, 0.0]), (4, [-0.9499, float(np.sqrt(1 - 0.9499**2))])]
+    x = np.array(data[1][1])
+    x /= np.sqrt(x @ x)
+    linked = bool(x[0] >= 0.95)
+    got = {r.vec_id: r.n_links for r in nn_descent.embedding_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: int(linked), 2: int(linked), 3: 0, 4: 0}
+
+
 def test_embedding_empty(spark):
     assert nn_descent.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -312,6 +330,35 @@ def test_token_counts(docs, spark):
     assert token_counts.length_table(spark.createDataFrame([], corpora.SCHEMA)).count() == 0
 
 
+def test_packing_tiers_and_steps():
+    rng = np.random.default_rng(12)
+    packer = packing.Packer(0, 64, 1024)
+    sizes = [int(x) for x in np.concatenate([rng.integers(1, 33, 900), rng.integers(9, 64, 300), [64, 130, 1]])]
+    for i, n in enumerate(rng.permutation(sizes)):
+        packer.add(i, np.full(n, i, np.uint16))
+    packer.finish()
+    by_seq, by_step = {}, {}
+    for doc, start, n, _, total, seq, at, tier, step in packer.out:
+        by_seq.setdefault(seq, []).append((at, n, tier, step))
+    for pieces in by_seq.values():
+        at, n, tier, step = min(pieces)
+        by_step.setdefault(step, []).append(tier)
+        assert sum(p[1] for p in pieces) == tier
+    tiers = [t for ts in by_step.values() for t in ts]
+    assert sum(tiers) == sum(sizes) and all(tiers.count(t) > 5 for t in (16, 32, 64))
+    opened = [min(p) for p in by_seq.values() if min(p)[2] in (16, 32, 64)]
+    assert np.mean([packing.tier_of(n, 64) == tier for _, n, tier, _ in opened]) > 0.95  # own tier opens it
+    full = [ts for ts in by_step.values() if sum(ts) == 64 * packing.STEP_WINDOWS]
+    assert len(full) >= len(by_step) - packing.OPEN_STEPS and max(sum(ts) for ts in by_step.values()) == 64 * packing.STEP_WINDOWS
+
+
+def test_packing_odd_rows(spark):
+    df = spark.createDataFrame([(1, "a b", 5), (1, "c d e", 6), (None, None, 7), (2, "", 8)], "doc_id long, text string, length int")
+    got = packing.pack(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.doc_tokens) for r in got if r.start == 0) == [(False, 1, 3), (False, 1, 4), (False, 2, 1), (True, 0, 1)]
+    assert sum(r.length for r in got) == 9
+
+
 def test_packing_round_trip(docs, spark):
     import zlib
 
@@ -334,4 +381,5 @@ def test_packing_round_trip(docs, spark):
             assert r.offset == at
             at += r.length
         assert at <= 64 and at & (at - 1) == 0  # nothing is padded
+        assert {p.tier for p in pieces} == {at} and len({p.step for p in pieces}) == 1
     assert packing.pack(spark.createDataFrame([], corpora.SCHEMA)).count() == 0
