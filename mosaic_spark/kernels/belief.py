@@ -50,7 +50,7 @@ def tree(taxa: list[str], parents: list[str | None]) -> tuple[list[int], list[in
 
 #: Cells (positions times taxa) of a group of chains that are passed over at once, and
 #: the number of chains from which arrays beat plain floats.
-GROUP_CELLS, FEW = 6_000_000, 8
+GROUP_CELLS, FEW = 8_000_000, 8
 
 
 class _Group:
@@ -84,10 +84,12 @@ class Family:
         while layer:
             groups = []
             for leaves in (False, True):
-                # children of one parent lie side by side; taxa of a group share their meioses
+                # children of one parent lie side by side; taxa of a group share their steps
                 some = [v for v in layer if (v not in kids) == leaves]
-                for count in sorted({meioses[v] for v in some}):
-                    alike = [v for v in some if meioses[v] == count]
+                kinds: dict[tuple, list[int]] = {}
+                for v in some:
+                    kinds.setdefault((meioses[v], *self.stationary[v]), []).append(v)
+                for alike in kinds.values():
                     groups += [_Group(alike[i : i + most], leaves, self.m, not self.levels) for i in range(0, len(alike), most)]
             self.place |= {v: (g, k) for g in groups for k, v in enumerate(g.nodes)}
             self.levels.append(groups)
@@ -124,10 +126,10 @@ class Family:
             if self.observed[v] is not None:
                 at, likelihood = self.observed[v]
                 local[at, :, k] *= likelihood
-        start, shares, r = self.start[g.nodes].T.copy(), self.stationary[g.nodes].T.copy(), self.fresh[self.meioses[g.nodes[0]]]
+        start, shares, r = self.start[g.nodes].T.copy(), self.stationary[g.nodes[0]], self.fresh[self.meioses[g.nodes[0]]]
         out = _passes(local, start, shares, r) if len(g.nodes) >= FEW else None
         if out is None or not np.isfinite(out).all():
-            out = np.stack([_plain_passes(local[:, :, k], start[:, k], shares[:, k], r) for k in range(len(g.nodes))], axis=2)
+            out = np.stack([_plain_passes(local[:, :, k], start[:, k], shares, r) for k in range(len(g.nodes))], axis=2)
         return out
 
     def _send_up(self, g: _Group, beliefs: np.ndarray, damping: float) -> float:
@@ -182,10 +184,15 @@ class Family:
             yield v, p.argmax(axis=1)
 
 
+#: Positions whose messages are worked on in one go, so that they stay in the processor's
+#: cache, and positions passed between two scalings, which keep floats in range.
+AT_ONCE, UNSCALED = 128, 16
+
+
 def _scaled(x: np.ndarray) -> np.ndarray:
     """Shares over states, the middle axis; flat where all are 0."""
     s = x.sum(axis=1, keepdims=True)
-    if (s > 0).all():
+    if s.min() > 0:
         x /= s
         return x
     return np.where(s > 0, x / np.where(s > 0, s, 1), 1 / 3)
@@ -193,41 +200,50 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 
 def _damped(held: np.ndarray, beliefs: np.ndarray, without: np.ndarray, link: np.ndarray, damping: float) -> float:
     """Moves messages towards what beliefs without the other side's say; the largest move."""
-    cavity = _scaled(beliefs / np.maximum(without, FLOOR))
-    target = _scaled(np.einsum("msk,st->mtk", cavity, link))
-    np.maximum(target, FLOOR, out=target)
-    old = np.maximum(held, FLOOR)
-    new = np.sqrt(old * target) if damping == 0.5 else old ** (1 - damping) * target**damping
-    new = _scaled(new)
-    np.subtract(new, held, out=old)
-    held[...] = new
-    return float(np.abs(old, out=old).max()) if old.size else 0.0
+    moved = 0.0
+    for i in range(0, len(held), AT_ONCE):
+        old, cavity = held[i : i + AT_ONCE], np.maximum(without[i : i + AT_ONCE], FLOOR)
+        np.divide(beliefs[i : i + AT_ONCE], cavity, out=cavity)
+        target = _scaled(np.matmul(link.T, cavity))
+        np.maximum(target, FLOOR, out=target)
+        new = np.maximum(old, FLOOR)
+        if damping == 0.5:
+            new *= target
+            np.sqrt(new, out=new)
+        else:
+            new = new ** (1 - damping) * target**damping
+        new = _scaled(new)
+        np.subtract(new, old, out=target)
+        moved = max(moved, float(target.max(initial=0.0)), -float(target.min(initial=0.0)))
+        old[...] = new
+    return moved
 
 
 def _passes(local: np.ndarray, start: np.ndarray, shares: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Beliefs of many chains at once, a position at a time. Forward values are kept at
-    sum 1, so drawing anew adds r times the stationary shares."""
+    """Beliefs of many chains at once, a position at a time. Chains share their steps: a
+    step is one product with a matrix of three states, drawing anew included."""
     m = len(local)
-    out, a = np.empty_like(local), start * local[0]
+    steps = (1 - r)[:, None, None] * np.eye(3) + r[:, None, None] * shares[None, :, None]
+    out, back = np.empty_like(local), steps.transpose(0, 2, 1).copy()
+    np.multiply(start, local[0], out=out[0])
+    room = np.empty_like(out[0])
     with np.errstate(invalid="ignore", divide="ignore"):
-        a /= a.sum(axis=0)
-        out[0] = a
         for i in range(1, m):
-            a = a * (1 - r[i - 1])
-            a += shares * r[i - 1]
-            a *= local[i]
-            a /= a.sum(axis=0)
-            out[i] = a
-        b = np.full_like(start, 1 / 3)
+            np.matmul(steps[i - 1], out[i - 1], out=room)
+            if i % UNSCALED == 0:
+                room /= room.sum(axis=0)
+            np.multiply(room, local[i], out=out[i])
+        b, w = np.full_like(start, 1 / 3), np.empty_like(start)
         for i in range(m - 2, -1, -1):
-            b *= local[i + 1]
-            b /= b.sum(axis=0)
-            anew = (b * shares).sum(axis=0)
-            anew *= r[i]
-            b *= 1 - r[i]
-            b += anew
+            np.multiply(b, local[i + 1], out=w)
+            if i % UNSCALED == 0:
+                w /= w.sum(axis=0)
+            np.matmul(back[i], w, out=b)
             out[i] *= b
-    return _scaled(out)
+        for i in range(0, m, AT_ONCE):
+            part = out[i : i + AT_ONCE]
+            part /= part.sum(axis=1, keepdims=True)
+    return out
 
 
 def _plain_passes(local: np.ndarray, start: np.ndarray, shares: np.ndarray, r: np.ndarray) -> np.ndarray:
