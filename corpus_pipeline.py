@@ -10,23 +10,34 @@ from mosaic_spark.llm import exact_dedup, lsh_forest, mixing, packing, toxicity
 from mosaic_spark.llm.common import shared_dir
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of a thousand documents: some are 100 kB, and a task holds a batch on
+    either side of the Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return lsh_forest.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return packing.pack(docs)
 
 
@@ -43,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage; the stages between are tables on the shared folder."""
+    """Rows of the last stage; the stages between are tables on the shared folder.
+
+    Null and empty texts are not toxic, are copies of each other and have no near copies;
+    one of them stays, is mixed with no words and packed as an end token. Null ids rank
+    last and are kept like others; rows that repeat an id are documents of their own
+    unless their texts are equal. An empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):

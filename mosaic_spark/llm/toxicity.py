@@ -223,8 +223,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            p = np.round(chain.score(texts)[:, -1], 6) if texts else np.zeros(0)
-            yield b.filter(pa.array((p < chain.threshold) | np.array([not t for t in texts], bool)))
+            for i in range(0, len(b), 500):
+                part = b.slice(i, 500)
+                texts = part.column(at).to_pylist()
+                p = np.round(chain.score(texts)[:, -1], 6)
+                yield part.filter(pa.array((p < chain.threshold) | np.array([not t for t in texts], bool)))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, fields)
