@@ -7,14 +7,15 @@ Anchors. The first digit is a ``DIGIT``-byte gram. Of the grams inside a window
 one with the smallest hash (the leftmost of equals) is its anchor, so equal windows
 have equal anchors at equal places, and about one position in 40 enters the sort.
 
-Copies. Of equal whole texts only the first takes part; all windows of the others
-start earlier there.
+Copies. Of equal whole texts (by SHA-256) only the first takes part; all windows of the
+others start earlier there.
 
 Pass 1 groups anchors by gram, merged map-side. A gram that one text holds once ends
 its windows there. The repeated grams go back to the documents: as an array while
 there are at most ``FEW`` of them, else by a join, so nothing unbounded is sent out.
-Pass 2 sorts the windows around the anchors that are left, by gram and then by
-bytes to full depth, and keeps the first of every group of equals. Equal contexts of
+Pass 2 sorts the windows around the anchors that are left, by gram and then by a hash
+of all their bytes, confirms neighbours of one hash byte by byte to full depth, and keeps
+the first of every group of equals. Equal contexts of
 a batch are merged before they are shuffled. A gram that more than ``hot_rows``
 anchors hold is replaced by the digits of its single windows, so a passage in a
 third of all documents is dealt out by content.
@@ -207,6 +208,20 @@ def _context_rows(seen: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lo, pa.int32()), pa.array(ctx, pa.binary()), pa.array(doc, pa.int64()), pa.array(rid, pa.int64()), pa.array(pos, pa.int64())], names=["key", "lo", "ctx", "doc_id", "rid", "pos"])
 
 
+def _confirmed(raw: np.ndarray, at: np.ndarray, content: np.ndarray, order: np.ndarray, group: np.ndarray) -> bool:
+    """Whether windows that stand side by side with one hash have the same bytes: compared
+    eight at a time, from the first digit to full depth."""
+    words = np.ndarray((max(0, len(raw) - 7),), "<u8", np.ascontiguousarray(raw), strides=(1,))
+    a, b = order[:-1], order[1:]
+    same = np.flatnonzero((content[a] == content[b]) & (group[a] == group[b]))
+    for k in range(0, len(same), 1 << 18):
+        x, y = at[a[same[k : k + (1 << 18)]]], at[b[same[k : k + (1 << 18)]]]
+        for digit in (*range(0, DEPTH - 8, 8), DEPTH - 8):
+            if (words[x + digit] != words[y + digit]).any():
+                return False
+    return True
+
+
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of whole groups of contexts: (rid, pos, bits), bit w set where window pos+w
     is the first of its equals."""
@@ -226,9 +241,15 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(n)
             r = np.repeat(np.arange(j - i), n)
             w = np.arange(ends[-1]) - np.repeat(ends - n, n)
-            content = gram_hashes(raw, DEPTH)[off[r] + w]
+            at = off[r] + w
+            content = gram_hashes(raw, DEPTH)[at]
             group, doc, rid, pos = many[i:j][r], doc_all[i:j][r], rid_all[i:j][r], pos_all[i:j][r] + w
             order = np.lexsort((pos, rid, doc, lo_all[i:j][r] - w, content, group))
+            if not _confirmed(raw, at, content, order, group):
+                # two strings share a hash: their bytes name them instead
+                rows = np.lib.stride_tricks.sliding_window_view(raw, DEPTH)[at]
+                content = np.unique(np.ascontiguousarray(rows).view(f"V{DEPTH}")[:, 0], return_inverse=True)[1].astype(np.uint64)
+                order = np.lexsort((pos, rid, doc, lo_all[i:j][r] - w, content, group))
             s = lambda x: x[order]
             new = np.ones(len(order), bool)
             new[1:] = (s(group)[1:] != s(group)[:-1]) | (s(content)[1:] != s(content)[:-1]) | ((lo_all[i:j][r] - w)[order][1:] != (lo_all[i:j][r] - w)[order][:-1])
@@ -292,14 +313,14 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ho
     gives an empty result."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rank = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
-    rows = docs.select(F.xxhash64(rank, whole).alias("rid"), F.xxhash64(whole).alias("tid"), rank.alias("rank"), F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"))
+    rows = docs.select(F.xxhash64(rank, whole).alias("rid"), F.xxhash64(whole).alias("tid"), F.unhex(F.sha2(whole.cast("binary"), 256)).alias("sha"), rank.alias("rank"), F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"))
     grams = rows.select("tid", "text").mapInArrow(_anchors, "h long, lo long, hi long, n long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     grams = cut(grams.where("lo <> hi").select("h", "n"))
     # fewer than anchors / hot_rows
     hot = _array(grams.where(F.col("n") > hot_rows).select("h"))
-    first = rows.groupBy("tid").agg(F.min_by("rid", "rank").alias("first"))
-    copies = cut(rows.select("tid", "rid").join(first, "tid").where("rid <> first").select("rid").distinct())
-    work = rows.drop("tid")
+    first = rows.groupBy("sha").agg(F.min_by("rid", "rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = cut(rows.select("sha", "rid").join(first, "sha").where("rid <> first").select("rid").distinct())
+    work = rows.drop("tid", "sha")
     if grams.count() <= few and copies.count() <= few:
         marks = _Marks(_array(grams.select("h")), _array(copies))
         work = work.withColumns({"grams": F.array().cast("array<long>"), "copied": F.lit(False)})
