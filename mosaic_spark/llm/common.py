@@ -21,12 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
     ``spark.checkpoint.dir`` of the session decides; a folder of this machine
-    is set only where the session names none (single-machine tests)."""
+    is set only where the session names none and runs on this machine alone."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mosaic-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -172,6 +172,22 @@ def test_suffix_dedup_across_chunks(spark, monkeypatch):
     assert windows == {p for i, t in enumerate(texts) for p in range(off[i], off[i] + len(t) - 99)}
 
 
+def test_windows_of_one_hash_are_told_apart_by_bytes(docs, monkeypatch):
+    """A hash of a window's first byte alone: only bytes tell windows apart."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 99, 130, np.uint8).tobytes()
+    other = text[:60] + b"z" + text[61:]
+    plain, weak = suffix_radix.gram_hashes, lambda raw, width: raw[: len(raw) - width + 1].astype(np.uint64)
+    cols = [pa.array([5] * 3, pa.int64()), pa.array([0] * 3, pa.int32()), pa.array([text, other, text], pa.binary()), pa.array([1, 2, 3], pa.int64()), pa.array([1, 2, 3], pa.int64()), pa.array([0] * 3, pa.int64())]
+    batch = pa.RecordBatch.from_arrays(cols, names=["key", "lo", "ctx", "doc_id", "rid", "pos"])
+    want = [b.to_pylist() for b in suffix_radix._firsts(iter([batch]))]
+    monkeypatch.setattr(suffix_radix, "gram_hashes", weak)
+    assert [b.to_pylist() for b in suffix_radix._firsts(iter([batch]))] == want
+    assert plain is not weak and any(any(r["bits"]) for r in want[0])
+
+
 def test_suffix_dedup_odd_tables(spark):
     assert suffix_radix.suffix_dedup(spark.createDataFrame([], corpora.SCHEMA)).count() == 0
     t = "0123456789" * 12

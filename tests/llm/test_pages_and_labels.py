@@ -59,6 +59,29 @@ def test_broken_pages(page):
     assert isinstance(html_extract.extract([page])[0], str)
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '\" ", "</p>", "<b>", "<div><b><hr>", "<p><button><b><hr>", "<!x", "<option>", "<h1><b>"])
+def test_parsing_time_is_proportional_to_the_page(piece):
+    import time
+
+    t = time.process_time()
+    html_extract.parse(piece * (300_000 // len(piece)))
+    assert time.process_time() - t < 15
+
+
+#: Pages written by hand, with their main text.
+BY_HAND = [
+    ("<html><body><div id=top><a href=/>Daily Post</a> | <a href=/s>Sport</a> | <a href=/w>Weather</a></div><div class=story><h1>Rain ends drought</h1><p>After four dry months, rain fell on the hills on Monday. Farmers said that it came just in time for the wheat.</p><p>Reservoirs stand at 41&#37; of their capacity, the water board reported on Tuesday morning.</p></div><div id=footer>Contact | Imprint | &copy; Daily Post</div></body></html>",
+     "Rain ends drought After four dry months, rain fell on the hills on Monday. Farmers said that it came just in time for the wheat. Reservoirs stand at 41% of their capacity, the water board reported on Tuesday morning."),
+    ("<body><nav class='main-menu'><ul><li><a href='/'>Start</a></li><li><a href='/blog'>Blog</a></li></ul></nav><main><article><h2>How to bake bread</h2><p>Mix the flour with warm water, salt and a little yeast, and leave the dough alone for an hour.</p><p>Then knead it <em>well</em>, shape a loaf and bake it for forty minutes in a hot oven.</p></article></main><section class='comments'><h3>2 comments</h3><div class='comment'>Ann: my loaf was flat!</div><div class='comment'>Ben: try more yeast.</div></section><footer><p>All rights reserved.</p></footer></body>",
+     "How to bake bread Mix the flour with warm water, salt and a little yeast, and leave the dough alone for an hour. Then knead it well, shape a loaf and bake it for forty minutes in a hot oven."),
+]
+
+
+@pytest.mark.parametrize("page,text", BY_HAND)
+def test_pages_written_by_hand(page, text):
+    assert html_extract.extract([page]) == [text]
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string")
     got = html_extract.extract_pages(df).collect()
