@@ -33,15 +33,15 @@ def main() -> None:
 
     obs = views.obs(spark, sf).persist()
     cells = obs.count()
-    # a cohort of the size of the published count-caller figure, a quarter of its lines
-    lines, markers, chroms = 64, 4_900, 10
+    # a cohort of the size of the published count-caller figure
+    lines, markers, chroms = 256, 4_900, 10
     i = F.col("id")
     cohort = spark.range(lines * markers * chroms).select(
         F.concat(F.lit("L"), F.floor(i / (markers * chroms)).cast("string")).alias("name"), (F.floor(i / markers) % chroms + 1).cast("int").alias("chr"), ((i % markers + 1) * 1000).cast("int").alias("pos"),
         (F.pmod(F.xxhash64("id"), F.lit(3))).cast("int").alias("n_ref"), F.when(F.pmod(F.floor(i / 700), F.lit(7)) == 0, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3))).otherwise(0).cast("int").alias("n_alt"),
     ).persist()
     cohort_cells = cohort.count()
-    panel = simulate.simulate_backcross_panel(spark, 100, 1_000, 5).persist()
+    panel = simulate.simulate_backcross_panel(spark, 500, 1_000, 5).persist()
     panel_cells = panel.count()
     run = {
         "bbnil_view": lambda: callers.call_ancestry(obs, "bbnil", design="BC2S3"),

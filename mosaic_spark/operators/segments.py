@@ -66,14 +66,26 @@ def donor_blocks(states: DataFrame) -> DataFrame:
     return out.select("name", "chr", "start_bp", "end_bp", ((F.col("end_bp") - F.col("start_bp")) / 1e6).alias("mb"))
 
 
+#: Cells of the value range in which running counts are summed up apart.
+KS_CELLS = 256
+
+
 def ks_distance(a: DataFrame, b: DataFrame, value: str = "mb") -> DataFrame:
-    """One row (d): the two-sample Kolmogorov-Smirnov distance. Samples shrink to
-    counts of distinct values first; running shares are taken after the last tie."""
-    both = a.select(F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(F.col(value).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    """One row (d): the two-sample Kolmogorov-Smirnov distance. Samples shrink to counts
+    of distinct values first. Running shares, after the last tie, add up inside cells
+    of the value range, which are as many whatever the samples' size, and over cells."""
+    both = a.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     values = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    up, every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("a").over(up) / F.sum("a").over(every) - F.sum("b").over(up) / F.sum("b").over(every))
-    return values.select(gap.alias("g")).agg(F.max("g").alias("d"))
+    edges = sorted(set(both.approxQuantile("v", [k / KS_CELLS for k in range(1, KS_CELLS)], 0.5 / KS_CELLS)))
+    cell = F.size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda e: e < F.col("v"))) if edges else F.lit(0)
+    values = values.withColumn("cell", cell)
+    up = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    before, every = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    cells = values.groupBy("cell").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))  # KS_CELLS rows at most
+    cells = cells.select("cell", *[f(c).over(w).alias(n) for c, n, w, f in (("ca", "a0", before, F.sum), ("cb", "b0", before, F.sum), ("ca", "na", every, F.sum), ("cb", "nb", every, F.sum))])
+    rows = values.select("cell", F.sum("a").over(up).alias("a"), F.sum("b").over(up).alias("b")).join(F.broadcast(cells), "cell")
+    share = lambda x, x0, n: (F.coalesce(F.col(x0), F.lit(0)) + F.col(x)) / F.col(n)
+    return rows.select(F.abs(share("a", "a0", "na") - share("b", "b0", "nb")).alias("g")).agg(F.max("g").alias("d"))
 
 
 def donor_fraction(states: DataFrame) -> DataFrame:

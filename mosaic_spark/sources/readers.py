@@ -60,8 +60,10 @@ def _vcf_cells(spark: SparkSession, path: str, samples: list[str], keep: list[st
     line splits once; only the chosen samples explode."""
     fields = F.split(F.regexp_replace("value", "\r$", ""), "\t")
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(fields.alias("f"))
-    chosen = [i for i, s in enumerate(samples) if keep is None or s in keep]
-    cells = F.array(*[F.struct(F.lit(samples[i]).alias("name"), F.get("f", F.lit(9 + i)).alias("cell")) for i in chosen])
+    # two literals whatever the cohort's size: the names and the columns of the chosen samples
+    names = F.lit([s for s in samples if keep is None or s in keep])
+    places = F.lit([9 + i for i, s in enumerate(samples) if keep is None or s in keep])
+    cells = F.zip_with(names, places, lambda n, i: F.struct(n.alias("name"), F.get("f", i).alias("cell")))
     at = lambda k: F.get("f", F.lit(k))
     rows = lines.select(chromosome(at(0)).alias("chr"), at(1).try_cast("long").alias("pos"), at(3).alias("ref"), at(4).alias("alt"), at(5).try_cast("double").alias("qual"), at(8).alias("format"), F.explode(cells).alias("s"))
     return rows.select("s.name", "chr", "pos", "ref", "alt", "qual", "format", "s.cell")
@@ -73,7 +75,8 @@ def read_vcf_counts(spark: SparkSession, path: str, strict_biallelic: bool = Fal
     ``strict_biallelic`` records of several alternatives or without AD are skipped."""
     cells = _vcf_cells(spark, path, vcf_header(spark, path, "read_counts(vcf_ad)"))
     at = F.array_position(F.split("format", ":"), F.lit("AD")).cast("int")
-    seen = cells.agg(F.count(F.lit(1)).alias("n"), F.count_if(at > 0).alias("k")).first()
+    forms = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(F.get(F.split("value", "\t", 10), F.lit(8)).alias("format"))
+    seen = forms.agg(F.count(F.lit(1)).alias("n"), F.count_if(at > 0).alias("k")).first()
     if not seen.n:
         raise FormatError("read_counts(vcf_ad): the VCF has no records")
     if not seen.k:
