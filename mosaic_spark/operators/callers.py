@@ -384,18 +384,19 @@ def _bin_states(data: DataFrame, bin_size, method, priors, donor, joint, weighte
 
 
 def _pooled_labels(rows: DataFrame, method: str, weighted: bool) -> DataFrame:
-    """One clustering of all samples' bins. The fit reads distinct (share, weight)
-    pairs: shares are ratios of small counts, so there are far fewer than bins."""
+    """One clustering of all samples' bins. The fit reads distinct shares with the bins
+    and the weight they stand for: shares are ratios of small counts, so there are far
+    fewer than bins; past a million of them, cells of 1e-6 stand for their shares."""
     w = F.col("ninf").cast("double") if weighted else F.lit(1.0)
-    pairs = rows.where("alt_freq > 0").groupBy("alt_freq").agg(F.sum(w).alias("w"), F.count(F.lit(1)).alias("n")).orderBy("alt_freq").collect()
-    if not pairs:
+    exact = rows.where("alt_freq > 0").agg(F.approx_count_distinct("alt_freq").alias("n")).first().n <= 1_000_000
+    rows = rows.withColumn("__share", F.col("alt_freq") if exact else F.when(F.col("alt_freq") > 0, F.greatest(F.round("alt_freq", 6), F.lit(1e-6))).otherwise(F.lit(0.0)))
+    pairs = rows.where("alt_freq > 0").groupBy("__share").agg(F.sum(w).alias("w"), F.count(F.lit(1)).alias("n")).orderBy("__share").toPandas()
+    if not len(pairs):
         return rows.withColumn("label", F.lit(0))
-    share, weight, n = (np.array([r[c] for r in pairs]) for c in ("alt_freq", "w", "n"))
-    x = np.repeat(share, n)
-    states = bins.cluster_states(x, method, np.repeat(weight / n, n) if weighted else None)
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    names = rows.sparkSession.createDataFrame([(float(s), int(k)) for s, k in zip(share, states[first])], "alt_freq double, label int")
-    return rows.join(names, "alt_freq", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    share, weight, n = (pairs[c].to_numpy(float) for c in ("__share", "w", "n"))
+    states = bins.cluster_states(share, method, weight if weighted else None, n)
+    names = rows.sparkSession.createDataFrame([(float(s), int(k)) for s, k in zip(share, states)], "__share double, label int")
+    return rows.join(names, "__share", "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
 # ---------------------------------------------------------------- families

@@ -170,6 +170,18 @@ def test_clusters():
         bins.cluster_states(x, "rebmix")
 
 
+@pytest.mark.parametrize("method", ["gmm", "kmeans"])
+def test_values_that_stand_for_rows_cluster_like_the_rows(method):
+    rng = np.random.default_rng(5)
+    values = np.sort(np.unique(np.round(rng.random(40), 3)))
+    counts = rng.integers(1, 30, len(values))
+    weight = np.repeat(rng.integers(1, 5, len(values)), counts).astype(float) if method == "gmm" else None
+    at = np.repeat(np.arange(len(values)), counts)
+    rows = bins.cluster_states(values[at], method, weight)
+    got = bins.cluster_states(values, method, None if weight is None else np.bincount(at, weight), counts.astype(float))
+    assert (got[at] == rows).all() and len(set(rows.tolist())) == 3
+
+
 def test_kmeans_is_optimal():
     rng = np.random.default_rng(5)
     x = np.sort(rng.random(12))
