@@ -3,6 +3,7 @@ return flag and line status, a handful of samples whatever the tables' size."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -23,7 +24,9 @@ def folder(spark: SparkSession, name: str) -> str:
     have = sc._jsc.sc().getCheckpointDir()
     base = have.get() if have.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not sc.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="mosaic-files-")  # this machine is all there is
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -71,28 +74,32 @@ def counts_tsv(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_counts(spark, path)
 
 
-_READS = F.concat_ws(":", F.lit("./."), F.concat_ws(",", "n_ref", "n_alt"))
-_GT = F.element_at(F.array(*[F.lit(x) for x in ("0/0", "0|1", "1/1", "./.")]), F.col("g") + 1)
+def _reads():
+    return F.concat_ws(":", F.lit("./."), F.concat_ws(",", "n_ref", "n_alt"))
+
+
+def _calls():
+    return F.element_at(F.array(*[F.lit(x) for x in ("0/0", "0|1", "1/1", "./.")]), F.col("g") + 1)
 
 
 def vcf_ad(spark: SparkSession, d: str) -> DataFrame:
-    return readers.read_counts(spark, _write_vcf(spark, d, _READS, "./.", "GT:AD"), format="vcf_ad")
+    return readers.read_counts(spark, _write_vcf(spark, d, _reads(), "./.", "GT:AD"), format="vcf_ad")
 
 
 def vcf_ad_biallelic(spark: SparkSession, d: str) -> DataFrame:
-    return readers.read_counts(spark, _write_vcf(spark, d, _READS, "./.", "GT:AD"), format="vcf_ad", strict_biallelic=True)
+    return readers.read_counts(spark, _write_vcf(spark, d, _reads(), "./.", "GT:AD"), format="vcf_ad", strict_biallelic=True)
 
 
 def vcf_gt(spark: SparkSession, d: str) -> DataFrame:
-    return readers.read_vcf_gt(spark, _write_vcf(spark, d, _GT, "./.", "GT"))
+    return readers.read_vcf_gt(spark, _write_vcf(spark, d, _calls(), "./.", "GT"))
 
 
 def vcf_gt_samples(spark: SparkSession, d: str) -> DataFrame:
-    return readers.read_vcf_gt(spark, _write_vcf(spark, d, _GT, "./.", "GT"), samples=["NO", "RF", "absent"])
+    return readers.read_vcf_gt(spark, _write_vcf(spark, d, _calls(), "./.", "GT"), samples=["NO", "RF", "absent"])
 
 
 def vcf_filtered(spark: SparkSession, d: str) -> DataFrame:
-    cells = readers.filter_vcf(spark, _write_vcf(spark, d, _GT, "./.", "GT"), min_qual=20, max_missing=0.5, chromosomes=[1, 2, 3, 5], snps_only=True)
+    cells = readers.filter_vcf(spark, _write_vcf(spark, d, _calls(), "./.", "GT"), min_qual=20, max_missing=0.5, chromosomes=[1, 2, 3, 5], snps_only=True)
     groups = spark.createDataFrame([("AF", "first"), ("NF", "first"), ("NO", "second"), ("RF", "second")], "name string, panel string")
     return readers.subset_by_group(cells, groups, "panel", "second").select("name", "chr", "pos", "ref", "alt", "qual", "cell")
 
