@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     if have.isDefined():
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not sc.master.startswith("local["):
+    if named is None and sc.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mosaic-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
