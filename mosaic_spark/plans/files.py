@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..operators import callers
 from ..sources import readers, writers
@@ -123,7 +124,8 @@ def plink(spark: SparkSession, d: str) -> DataFrame:
     bits = F.split("cells", "\t")
     packed = [sum(F.get(bits, F.lit(k)).cast("int") * 4 ** (k % 4) for k in range(i, min(i + 4, len(names)))).alias(f"b{i}") for i in range(0, len(names), 4)]
     base = folder(spark, "plink")
-    order = sites.select("chr", "pos", *packed).orderBy("chr", "pos")
+    kept = sites.select("chr", "pos", *packed).persist(StorageLevel.MEMORY_AND_DISK)  # two files are written from it
+    order = kept.orderBy("chr", "pos")
     order.select(F.concat_ws("\t", "chr", F.concat(F.lit("m"), "pos"), F.lit("0"), "pos", F.lit(ALT), F.lit(REF)).alias("value")).coalesce(1).write.text(f"{base}/bim")
     spark.createDataFrame([(f"F {n} 0 0 0 -9",) for n in names], "value string").coalesce(1).write.text(f"{base}/fam")
     files, at = _files(spark)
@@ -136,6 +138,7 @@ def plink(spark: SparkSession, d: str) -> DataFrame:
     for batch in order.drop("chr", "pos").toArrow().to_batches():
         out.write(bytearray(np.stack([c.to_numpy() for c in batch.columns], axis=1).astype(np.uint8).tobytes()))
     out.close()
+    kept.unpersist()
     return readers.read_plink(spark, f"{base}/x")
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..schema import chromosome
 
@@ -147,43 +148,78 @@ def read_hapmap(spark: SparkSession, path: str, samples: list[str] | None = None
     return rows.select("s.name", "chr", "pos", F.when(F.length(call) == 2, two).otherwise(one).alias("g"))
 
 
+def _numbered_lines(lines: DataFrame, keep: list[str], schema: str) -> tuple[DataFrame, int]:
+    """(rows with their place ``n`` in the file, number of rows) of one file's rows, whose
+    column ``at`` is where their split begins. A split is read in order by one task; they are
+    kept, so that the splits that were counted are those that are numbered."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for b in batches:
+            at, k = b.column(b.schema.get_field_index("at")).to_numpy(), np.zeros(len(b), np.int64)
+            for start in np.unique(at).tolist():
+                here = np.flatnonzero(at == start)
+                k[here] = np.arange(len(here)) + seen.get(start, 0)
+                seen[start] = seen.get(start, 0) + len(here)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(k), *[b.column(b.schema.get_field_index(c)) for c in keep]], names=["at", "k", *keep])
+
+    rows = lines.select("at", *keep).mapInArrow(count, f"at long, k long, {schema}").persist(StorageLevel.MEMORY_AND_DISK)
+    before, total = [], 0
+    for r in rows.groupBy("at").count().orderBy("at").collect():
+        before.append((r.at, total))
+        total += r["count"]
+    first = rows.sparkSession.createDataFrame(before, "at long, first long")
+    return rows.join(F.broadcast(first), "at").select((F.col("first") + F.col("k")).alias("n"), *keep), total
+
+
 def read_plink(spark: SparkSession, prefix: str) -> DataFrame:
     """A .bed/.bim/.fam trio as (name, chr, pos, g): dosage of allele A1, 3 missing.
 
-    The packed file is one binary row; variants leave the kernel in blocks. Its size
+    The packed file is one binary row, cut into a row a variant; variants and their lines
+    in .bim meet by number on the executors, the driver holds the samples alone. Its size
     is checked against the other two before anything is unpacked."""
     prefix = prefix.removesuffix(".bed")
-    words = lambda path: spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w"), F.col("_metadata.file_path").alias("p")).where(F.size("w") > 1)
-    # .bim and .fam have a line per variant and sample; both index the packed bits
-    bim = [(r.c, r.p) for r in words(f"{prefix}.bim").select(chromosome(F.get("w", F.lit(0))).alias("c"), F.get("w", F.lit(3)).try_cast("long").alias("p")).collect()]
+    words = lambda path: spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w"), F.col("_metadata.file_block_start").alias("at")).where(F.size("w") > 1)
     fam = [r.n for r in words(f"{prefix}.fam").select(F.get("w", F.lit(1)).alias("n")).collect()]
     width = -(-len(fam) // 4)
-    size = spark.read.format("binaryFile").load(f"{prefix}.bed").select("length").first().length
-    head = spark.read.format("binaryFile").load(f"{prefix}.bed").select(F.substring("content", 1, 3).alias("h")).first().h
+    bed = spark.read.format("binaryFile").load(f"{prefix}.bed")
+    size = bed.select("length").first().length
+    head = bed.select(F.substring("content", 1, 3).alias("h")).first().h
     if len(head) < 3 or bytes(head[:2]) != b"\x6c\x1b":
         raise FormatError("read_plink: not a valid PLINK .bed (bad magic bytes)")
     if head[2] != 1:
         raise FormatError("read_plink: only SNP-major .bed is supported")
-    if size != 3 + len(bim) * width:
-        raise FormatError(f"read_plink: .bed size inconsistent with .bim and .fam (expected {3 + len(bim) * width} bytes, got {size})")
+    bim = words(f"{prefix}.bim").select("at", chromosome(F.get("w", F.lit(0))).alias("chr"), F.get("w", F.lit(3)).try_cast("long").alias("pos"))
+    sites, variants = _numbered_lines(bim, ["chr", "pos"], "chr int, pos long")
+    if size != 3 + variants * width:
+        raise FormatError(f"read_plink: .bed size inconsistent with .bim and .fam (expected {3 + variants * width} bytes, got {size})")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dosage = np.array([2, 3, 1, 0], np.int32)  # fixed values of the two-bit codes
-        block = max(1, 1_000_000 // max(1, len(fam)))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = max(1, min(65_536, 4_000_000 // max(1, width)))
         for b in batches:
             for content in b.column(0):
-                raw = np.frombuffer(content.as_py(), np.uint8)[3:].reshape(len(bim), width)
-                for i in range(0, len(bim), block):
-                    part = raw[i : i + block]
-                    codes = (part[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
-                    g = dosage[codes.reshape(len(part), -1)[:, : len(fam)]]
-                    where = bim[i : i + block]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(fam * len(part)), pa.array(np.repeat([c for c, _ in where], len(fam)), pa.int32()), pa.array(np.repeat([p for _, p in where], len(fam)), pa.int64()), pa.array(g.ravel())],
-                        names=["name", "chr", "pos", "g"],
-                    )
-
-    return spark.read.format("binaryFile").load(f"{prefix}.bed").select("content").mapInArrow(run, "name string, chr int, pos long, g int")
+                raw = memoryview(content.as_buffer())[3:]
+                for i in range(0, variants, block):
+                    n = min(block, variants - i)
+                    ends = pa.array(np.arange(n + 1, dtype=np.int32) * width).buffers()[1]
+                    bits = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(raw[i * width : (i + n) * width])])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + n)), bits], names=["n", "bits"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dosage, names = np.array([2, 3, 1, 0], np.int32), pa.array(fam, pa.string())  # fixed values of the two-bit codes
+        block = max(1, 1_000_000 // max(1, len(fam)))
+        for b in batches:
+            for i in range(0, len(b), block):
+                chrom, pos, bits = b.slice(i, block).columns
+                n = len(bits)
+                raw = np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(n, width)
+                codes = (raw[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
+                g = dosage[codes.reshape(n, -1)[:, : len(fam)]]
+                site = pa.array(np.repeat(np.arange(n), len(fam)))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.tile(np.arange(len(fam)), n))), chrom.take(site), pos.take(site), pa.array(g.ravel())], names=["name", "chr", "pos", "g"])
+
+    packed = bed.select("content").mapInArrow(cut, "n long, bits binary")
+    return sites.join(packed, "n").select("chr", "pos", "bits").mapInArrow(unpack, "name string, chr int, pos long, g int")
 
 
 def read_pedigree(spark: SparkSession, path: str, format: str = "fsfhap") -> DataFrame:
