@@ -203,6 +203,28 @@ def test_information_is_a_metric(spark):
     assert all(d(a, c) <= d(a, b) + d(b, c) + 0.02 for a, b, c in itertools.permutations(range(5), 3))
 
 
+def test_pairs_by_tiles(spark):
+    """Two groups of markers over samples of their own, more than a tile each; tasks by pairs of blocks."""
+    rng, n = np.random.default_rng(3), thinning.TILE + 20
+    m = rng.integers(0, 3, (2 * n, 40)).astype(float)
+    m[rng.random(m.shape) < 0.3] = np.nan
+    m[:n, 25:], m[n:, :25] = np.nan, np.nan
+    data = [(c, i, j, float(v)) for c in range(1, 7) for i, row in enumerate(m if c == 1 else m[:2]) for j, v in enumerate(row) if v == v]
+    found = thinning.pairwise_distance(spark.createDataFrame(data, "chr int, marker int, sample int, dosage double"), per_chr=True)
+    assert found.rdd.getNumPartitions() >= 12
+    got = {(r.i, r.j): r.value for r in found.where("chr = 1").collect()}
+    assert len(got) == n * (2 * n - 1)
+    for i, j in [(0, 1), (0, thinning.TILE), (5, n - 1), (3, n), (n, 2 * n - 1), *rng.integers(0, 2 * n, (300, 2)).tolist()]:
+        i, j = min(i, j), max(i, j)
+        x, y = m[i], m[j]
+        both = ~np.isnan(x) & ~np.isnan(y)
+        plain = i != j and both.sum() > 1 and x[both].std() > 0 and y[both].std() > 0
+        assert i == j or got[i, j] == pytest.approx(np.corrcoef(x[both], y[both])[0, 1] ** 2 if plain else 0.0, abs=1e-12)
+    codes, values = [np.array([1, 5, 9]), np.array([5]), np.array([9, 2])], [np.ones(3), np.full(1, 2.0), np.zeros(2)]
+    x, y = thinning._Tile(0, 2, codes, values), thinning._Tile(2, 3, codes, values)
+    assert [a.tolist() for a in x.met(np.array([2]))] == [[0], [0], [1.0]] and y.samples.tolist() == [2, 9]
+
+
 def test_position_thinning(spark):
     pos = [0.0, 0.05, 0.12, 0.3, 0.31, 0.45, 0.5, 0.58, 0.9, 0.97]
     markers = spark.createDataFrame([(i, 1, p) for i, p in enumerate(pos)], "marker int, chr int, pos double")
