@@ -225,6 +225,16 @@ def test_pairs_by_tiles(spark):
     assert [a.tolist() for a in x.met(np.array([2]))] == [[0], [0], [1.0]] and y.samples.tolist() == [2, 9]
 
 
+def test_independent_r2_reads_genotypes_once(spark, monkeypatch):
+    from mosaic_spark.plans import queries
+
+    read, plain = [], queries.bin_genotypes
+    monkeypatch.setattr(queries, "bin_genotypes", lambda *a: read.append(1) or plain(*a))
+    found = queries.independent_r2(spark, "/root/testdata/sf0.001").collect()
+    spark.catalog.clearCache()
+    assert len(read) == 1 and {r.chr for r in found} == set(range(1, 8))
+
+
 def test_position_thinning(spark):
     pos = [0.0, 0.05, 0.12, 0.3, 0.31, 0.45, 0.5, 0.58, 0.9, 0.97]
     markers = spark.createDataFrame([(i, 1, p) for i, p in enumerate(pos)], "marker int, chr int, pos double")
