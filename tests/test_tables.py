@@ -203,6 +203,19 @@ def test_information_is_a_metric(spark):
     assert all(d(a, c) <= d(a, b) + d(b, c) + 0.02 for a, b, c in itertools.permutations(range(5), 3))
 
 
+def test_vcf_cells_are_shuffled_once(spark):
+    """Cells get their sample's number without a shuffle by name, whatever the threshold."""
+    st = spark.createDataFrame([("b", 1, 10, 2), ("a", 1, 20, 0)], "name string, chr int, pos int, state int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        body = writers.vcf_lines(st)[1]
+        plan = body._jdf.queryExecution().executedPlan().toString()
+        got = rows(body.selectExpr("pos", "split(value, '\\t')[9]", "split(value, '\\t')[10]"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and got == [(10, "./.", "1/1"), (20, "0/0", "./.")]
+
+
 def test_pairs_by_tiles(spark):
     """Two groups of markers over samples of their own, more than a tile each; tasks by pairs of blocks."""
     rng, n = np.random.default_rng(3), thinning.TILE + 20
