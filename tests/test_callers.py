@@ -196,6 +196,14 @@ def test_pedigree_and_refinement(spark):
         callers.call_states(counts, "pedigree", design="BC2S3", pedigree=ped.where("NOT endswith(taxon, '_g1')"))
 
 
+def test_families_are_dealt_to_tasks_by_their_number(spark):
+    from mosaic_spark.operators.simulate import simulate_counts, simulate_family
+
+    truth, ped = simulate_family(spark, "BC2S3", 2, 3, n_markers=20, chr=[1, 2])
+    states = callers.call_states(simulate_counts(truth, depth=1.0), "pedigree", design="BC2S3", pedigree=ped)
+    assert states.rdd.getNumPartitions() == 64 and states.count() == truth.count()
+
+
 def test_contracts(spark, data):
     for bad, error in (({"caller": "nope"}, ValueError), ({"caller": "nnil", "design": "BC2S3"}, SchemaError), ({"caller": "bbnil"}, ValueError), ({"caller": "bbnil", "design": "x"}, ValueError), ({"caller": "pedigree"}, ValueError), ({"caller": "bbnil", "design": "BC1S1", "what": 1}, TypeError)):
         with pytest.raises(error):
