@@ -201,7 +201,7 @@ def test_families_are_dealt_to_tasks_by_their_number(spark):
 
     truth, ped = simulate_family(spark, "BC2S3", 2, 3, n_markers=20, chr=[1, 2])
     states = callers.call_states(simulate_counts(truth, depth=1.0), "pedigree", design="BC2S3", pedigree=ped)
-    assert states.rdd.getNumPartitions() == 64 and states.count() == truth.count()
+    assert states.rdd.getNumPartitions() == 32 and states.count() == truth.count()
 
 
 def test_contracts(spark, data):
