@@ -238,6 +238,30 @@ def test_pairs_by_tiles(spark):
     assert [a.tolist() for a in x.met(np.array([2]))] == [[0], [0], [1.0]] and y.samples.tolist() == [2, 9]
 
 
+def test_bins_cost_one_shuffle(spark):
+    """Sums by part and by bin and a marker's cells need no shuffle but that by marker; rows are those of the SQL."""
+    from mosaic_spark.plans import views
+
+    d = "/root/testdata/sf0.001"
+    got = views.bin_genotypes(spark, d)
+    plan = got.groupBy("chr", "marker").count()._jdf.queryExecution().executedPlan().toString()
+    want = spark.sql(views.BIN_GENO.format(obs="{obs}", div="DIV"), obs=views.obs(spark, d))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert got.dtypes == want.dtypes and rows(got) == rows(want)
+
+
+def test_pairs_without_a_common_sample_cost_no_matrix(spark):
+    """Tiles that share no sample come as names alone; thresholds of 0 and below keep their pairs."""
+    cells = [("a", 1, 0.0), ("a", 2, 1.0), ("a", 3, 2.0), ("b", 1, 0.0), ("b", 2, 2.0), ("b", 3, 2.0), ("c", 7, 1.0), ("d", 7, None)]
+    data = spark.createDataFrame(cells, "marker string, sample int, dosage double")
+    want = {(i, j): 0.0 for i, j in itertools.combinations("abcd", 2)} | {("a", "b"): 0.75}
+    for least, kept in ((None, 6), (0.0, 6), (-1.0, 6), (0.5, 1), (0.8, 0)):
+        got = {(r.i, r.j): r.value for r in thinning.pairwise_distance(data, least=least).collect()}
+        assert len(got) == kept and all(v == pytest.approx(want[k]) for k, v in got.items())
+    part = thinning._rows(thinning.pa.array([1]), [False], thinning.pa.array(["a", "b"]), [0, 2], thinning.pa.array(["c"]), None, [0, 1])
+    assert part.column(4).null_count == 1 and part.column(4).values.nbytes == 0
+
+
 def test_independent_r2_reads_genotypes_once(spark, monkeypatch):
     from mosaic_spark.plans import queries
 
