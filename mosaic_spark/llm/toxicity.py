@@ -13,7 +13,6 @@ scoring reads every whole text."""
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,23 +126,28 @@ def fit_chain(texts: list[str], toxic: list[int], categories: int = CATEGORIES,
     n = len(texts)
     if n == 0 or y.min() == y.max():
         return Chain({}, [np.array([0.0] * c + [-35.0]) for c in range(categories + 1)])
-    found = [terms_of(t) for t in texts]
-    in_toxic, in_clean = Counter(), Counter()
+    # a term is a number from here on: sets of strings took 300 MB of the driver at 3,600 documents
+    number: dict[str, int] = {}
+    found = [np.array([number.setdefault(term, len(number)) for term in terms_of(t)], np.int32) for t in texts]
+    in_toxic, in_clean = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     for f, t in zip(found, toxic):
-        (in_toxic if t else in_clean).update(f)
+        (in_toxic if t else in_clean)[f] += 1
     a, b = y.sum(), n - y.sum()
-    z = {}
-    for term in {*in_toxic, *in_clean}:
-        i, j = in_toxic[term], in_clean[term]
-        if i + j >= LEAST_DOCS:
-            p, q, r = i / a, j / b, (i + j) / n
-            z[term] = (p - q) / np.sqrt(max(r * (1 - r) * (1 / a + 1 / b), 1e-12))
-    best = sorted(z, key=lambda t: (-abs(z[t]), t))[:TERMS]
-    terms = {t: i for i, t in enumerate(best)}
+    r = (in_toxic + in_clean) / n
+    z = (in_toxic / a - in_clean / b) / np.sqrt(np.maximum(r * (1 - r) * (1 / a + 1 / b), 1e-12))
+    often = [(term, i) for term, i in number.items() if in_toxic[i] + in_clean[i] >= LEAST_DOCS]
+    del number
+    best = sorted(often, key=lambda x: (-abs(z[x[1]]), x[0]))[:TERMS]
+    terms = {term: c for c, (term, _) in enumerate(best)}
     m = len(terms)
-    rows = np.array([i for i, f in enumerate(found) for t in f if t in terms], np.int64)
-    cols = np.array([terms[t] for f in found for t in f if t in terms], np.int64)
-    cues = np.array([z[t] > 0 for t in best])
+    taken = np.array([i for _, i in best], np.int64)
+    column = np.full(len(z), -1)
+    column[taken] = np.arange(m)
+    found = [np.sort(column[f]) for f in found]  # not in the order of the sets, which differs from run to run
+    found = [f[f >= 0] for f in found]
+    rows = np.repeat(np.arange(n), [len(f) for f in found])
+    cols = np.concatenate(found)
+    cues = z[taken] > 0
     members = np.flatnonzero(y == 1)
     telling = cues[cols]
     at = _clusters(rows[telling], cols[telling], n, m, members, min(categories, len(members)))
