@@ -262,6 +262,32 @@ def test_pairs_without_a_common_sample_cost_no_matrix(spark):
     assert part.column(4).null_count == 1 and part.column(4).values.nbytes == 0
 
 
+def test_tiles_come_in_strips():
+    """The engine holds all pairs of a row: a tile as one row was 65,536 of them."""
+    markers, codes, values = thinning.pa.array(np.arange(thinning.TILE)), [np.array([1])] * thinning.TILE, [np.ones(1)] * thinning.TILE
+    x, y = thinning._Tile(0, 100, codes, values), thinning._Tile(100, 130, codes, values)
+    for a, b in ((x, x), (x, y)):
+        value = np.arange(len(a) * len(b), dtype=float).reshape(len(a), len(b))
+        got = [(i, j, r["value"][k * len(r["right"]) + q]) for r in thinning._strips(thinning.pa.scalar(1), markers, a, b, value).to_pylist() for k, i in enumerate(r["left"]) for q, j in enumerate(r["right"]) if q > k + r["skip"] and len(r["left"]) <= thinning.STRIP]
+        assert got == [(i, j, value[i - a.first, j - b.first]) for i in range(a.first, a.end) for j in range(b.first, b.end) if a is not b or i < j]
+
+
+def test_sums_in_single_precision_are_exact():
+    rng = np.random.default_rng(8)
+    for high, short in ((3, True), (90, True), (92, False)):
+        codes, values = [np.arange(3000)] * 4, [rng.integers(0, high, 3000).astype(float) for _ in range(4)]
+        values[0][0] = high - 1
+        x, y = thinning._Tile(0, 2, codes, values), thinning._Tile(2, 4, codes, values)
+        for a, b in ((x, x), (x, y)):
+            one = a.met(np.arange(3000))
+            two = one if a is b else b.met(np.arange(3000))
+            assert thinning._short(one[2]) == short
+            got = thinning._correlations(one, two, (2, 2), 3000)
+            want = np.corrcoef(values[a.first : a.end], values[b.first : b.end])[:2, 2:] ** 2
+            assert got == pytest.approx(want, abs=1e-12)
+    assert not thinning._short(np.array([0.5])) and thinning._short(np.zeros(0))
+
+
 def test_independent_r2_reads_genotypes_once(spark, monkeypatch):
     from mosaic_spark.plans import queries
 
