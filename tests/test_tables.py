@@ -250,6 +250,27 @@ def test_bins_cost_one_shuffle(spark):
     assert got.dtypes == want.dtypes and rows(got) == rows(want)
 
 
+def test_bins_come_as_vectors(spark, tmp_path):
+    """A row a marker with numbers for names: the same cells as the rows, and the same pairs."""
+    from mosaic_spark.plans import views
+
+    line = "l_suppkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double"
+    odd = [(7, 1, 99, -5.0, 0.1), (7, 1, 99, 9.0, 0.1), (8, 1, 98, None, 0.1), (8, 1, 97, 4.0, None), (2**40, 1, 2**33, 3.0, 0.1), (-9, 1, 1, 5.0, 0.1), (3, None, 5, 5.0, 0.1)]
+    spark.createDataFrame(odd, line).write.parquet(f"{tmp_path}/odd/lineitem.parquet")
+    spark.createDataFrame([*odd, (None, 1, 199, 5.0, 0.1)], line).write.parquet(f"{tmp_path}/none/lineitem.parquet")
+    for path in ("/root/testdata/sf0.001", f"{tmp_path}/odd"):
+        plain = views.bin_genotypes(spark, path).where("chr IS NOT NULL")
+        got = views.bin_genotypes(spark, path, True)
+        cells = got.selectExpr("chr", "marker", "explode(arrays_zip(codes, values)) AS c").selectExpr("chr", "marker", "concat('S', c.codes)", "CAST(c.values AS INT)")
+        assert rows(cells) == rows(plain.select("chr", "marker", "sample", "dosage"))
+        assert got.select("chr", "marker").distinct().count() == got.count()
+        for method in ("r2", "vi"):
+            assert rows(thinning.pairwise_distance(got, method, per_chr=True)) == rows(thinning.pairwise_distance(plain, method, per_chr=True))
+    lone = views.bin_genotypes(spark, f"{tmp_path}/none", True).where("marker = 1000002").collect()
+    assert [(r.codes, r["values"]) for r in lone] == [([], [])]
+    assert views._order(np.array([2**62, 5, 5]), np.array([0, 9, 2**62])).tolist() == [1, 2, 0]
+
+
 def test_pairs_without_a_common_sample_cost_no_matrix(spark):
     """Tiles that share no sample come as names alone; thresholds of 0 and below keep their pairs."""
     cells = [("a", 1, 0.0), ("a", 2, 1.0), ("a", 3, 2.0), ("b", 1, 0.0), ("b", 2, 2.0), ("b", 3, 2.0), ("c", 7, 1.0), ("d", 7, None)]
