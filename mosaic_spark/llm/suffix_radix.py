@@ -40,8 +40,10 @@ DEPTH, DIGIT = 100, 24
 FEW = 2_000_000
 HOT_ROWS = 100_000
 #: Bytes looked at in one go; positions inside fit the anchor's packed low bits.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 _LOW = np.uint64(AT_ONCE * 2 - 1)
+#: Bytes of contexts sorted in one go, and of texts put together: every one costs some 30 bytes meanwhile.
+BLOCK_BYTES = 2_000_000
 _P = 0x9E3779B97F4A7C15
 _power: dict[int, np.ndarray] = {}
 
@@ -229,11 +231,11 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         raw_all, off_all = text_buffers(whole.column(2))
         lo_all, doc_all, rid_all, pos_all = (whole.column(c).to_numpy(zero_copy_only=False) for c in (1, 3, 4, 5))
-        # groups in blocks of a few MB; a group is never divided
+        # groups in blocks; a group is never divided
         size = off_all[bounds]
         g = 0
         while g < len(bounds) - 1:
-            e = max(g + 1, int(np.searchsorted(size, size[g] + 8_000_000, "right")) - 1)
+            e = max(g + 1, int(np.searchsorted(size, size[g] + BLOCK_BYTES, "right")) - 1)
             i, j = bounds[g], bounds[min(e, len(bounds) - 1)]
             g = e
             raw, off = raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i]
@@ -265,7 +267,7 @@ def _removed(batches: Iterator[pa.RecordBatch], marks: _Marks, with_bytes: bool)
         rid, doc, kept = b.column(0).to_numpy(zero_copy_only=False), b.column(1), b.column(5)
         copied = marks.copied(rid, b.column(4))
         raw_all, off_all = text_buffers(b.column(2))
-        for i, j in slices(off_all, 8_000_000):
+        for i, j in slices(off_all, BLOCK_BYTES):
             raw, off = raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i]
             delta = np.zeros(len(raw) + 1, np.int32)
             for row, first, last, _, _ in _repeated(raw, off, marks.grams(b.column(3), i, j)):

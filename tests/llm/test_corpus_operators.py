@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +190,22 @@ def test_windows_of_one_hash_are_told_apart_by_bytes(docs, monkeypatch):
     assert plain is not weak and any(any(r["bits"]) for r in want[0])
 
 
+def test_suffix_sort_works_in_small_blocks():
+    """8 MB of contexts took 380 MB while they were sorted; two such tasks share an executor."""
+    import pyarrow as pa
+
+    n, rng = 60_000, np.random.default_rng(4)
+    raw = rng.integers(97, 123, n * 140, dtype=np.uint8).tobytes()
+    number = pa.array(np.arange(n))
+    ctx = pa.array([raw[i : i + 140] for i in range(0, len(raw), 140)], pa.binary())
+    batch = pa.RecordBatch.from_arrays([number, pa.array(np.zeros(n, np.int32)), ctx, number, number, pa.array(np.zeros(n, np.int64))], names=["key", "lo", "ctx", "doc_id", "rid", "pos"])
+    tracemalloc.start()
+    got = sum(len(b) for b in suffix_radix._firsts(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == n and peak < 200e6
+
+
 def test_suffix_dedup_odd_tables(spark):
     assert suffix_radix.suffix_dedup(spark.createDataFrame([], corpora.SCHEMA)).count() == 0
     t = "0123456789" * 12
